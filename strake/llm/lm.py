@@ -1,11 +1,12 @@
 """Scoring texts by prediction by partial matching (PPM) over bytes.
 
 The trie of byte contexts is trained on the training documents. A symbol is a
-byte or the end of the text; a text's first contexts are filled with a begin
-mark. Contexts of 0, 1 and 2 symbols are all kept; their counts number 256**3 at
-most. Contexts of 3 symbols are extended if they make up at least one in
-``2**15`` of the training symbols, so there are never more than that many, and
-the model has a bound that does not depend on the corpus.
+byte or the end of the text; a text's first contexts are filled with begin
+marks. Contexts of up to 2 symbols are all kept; their counts number 256**3 at
+most. Contexts of 3, 4 and 5 symbols are kept if they precede at least one in
+``CONTEXTS`` of the training symbols, so there are never more than that many of
+a length: the model has a bound that does not depend on the corpus, while its
+counts come from all of it.
 
 A symbol is coded by the longest kept context. Escapes are estimated as method C
 (distinct symbols against occurrences), and after an escape the symbols of the
@@ -33,44 +34,70 @@ from .scratch import cut
 BEGIN, END = 0xFF, 0xFE
 #: Symbols that can be coded: all bytes but the two marks (texts that hold them, which is not UTF-8, have 0xFD instead), and the end.
 UNIVERSE = 255
-CONTEXTS = 1 << 15
+CONTEXTS = 1 << 17
+DEPTH = 5
 _MARK = np.arange(256, dtype=np.uint8)
 _MARK[[BEGIN, END]] = 0xFD
 _END_WORD = np.uint64(0x5EED0FE2D0000001)
 
 
 def marked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with three begin marks before and an end mark after each; the places and rows of their symbols."""
+    """Texts with begin marks before and an end mark after each; the places and rows of their symbols."""
     n = ends - starts
-    out = np.full(int(n.sum()) + 4 * len(n), BEGIN, np.uint8)
+    out = np.full(int(n.sum()) + (DEPTH + 1) * len(n), BEGIN, np.uint8)
     rows = np.arange(len(n))
-    new = np.cumsum(n + 4) - (n + 4)
+    new = np.cumsum(n + DEPTH + 1) - (n + 1)
     row = np.repeat(rows, n)
     at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    out[new[row] + 3 + at] = _MARK[buf[starts[row] + at]]
-    out[new + 3 + n] = END
+    out[new[row] + at] = _MARK[buf[starts[row] + at]]
+    out[new + n] = END
     symbol = np.ones(len(out), bool)
-    for k in range(3):
-        symbol[new + k] = False
-    place = np.flatnonzero(symbol)
-    return out, place, np.repeat(rows, n + 1)
+    for k in range(1, DEPTH + 1):
+        symbol[new - k] = False
+    return out, np.flatnonzero(symbol), np.repeat(rows, n + 1)
 
 
 def grams(out: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The four bytes that end at each place, as one number."""
-    wide = out.astype(np.uint32)
-    return wide[place - 3] << 24 | wide[place - 2] << 16 | wide[place - 1] << 8 | wide[place]
+    """Each symbol and the bytes before it, as one number."""
+    wide = out.astype(np.int64)
+    sums = wide.copy()
+    for k in range(1, DEPTH + 1):
+        sums[k:] |= wide[:-k] << (8 * k)
+    return sums[place]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, sums = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    many = 0
+
+    def add():
+        nonlocal keys, sums, many
+        new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], sums[:0])
+        held.clear()
+        many = 0
+        at = np.searchsorted(keys, new)
+        old = at < len(keys)
+        old[old] = keys[at[old]] == new[old]
+        sums[at[old]] += n[old]
+        order = np.argsort(np.concatenate([keys, new[~old]]), kind="stable")
+        keys, sums = np.concatenate([keys, new[~old]])[order], np.concatenate([sums, n[~old]])[order]
+
+    def rows():
+        for i in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(sums[i : i + 100_000])], names=["gram", "n"])
+
     for batch in batches:
         for _, _, buf, starts, ends in K.pieces(batch.column("text")):
-            own, n = np.unique(grams(*marked(buf, starts, ends)[:2]), return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            sums = np.bincount(back, weights=np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
-    for i in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].astype(np.int64)), pa.array(sums[i : i + 100_000])], names=["gram", "n"])
+            held.append(grams(*marked(buf, starts, ends)[:2]))
+            many += len(held[-1])
+            if many > 1 << 22:
+                add()
+        if len(keys) > 1 << 23:  # a partition with very many grams hands them on in parts
+            yield from rows()
+            keys, sums = keys[:0], sums[:0]
+    add()
+    yield from rows()
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -78,80 +105,96 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table.column(0).to_numpy(), table.column(1).to_numpy()
 
 
-def train(texts: DataFrame, contexts: int = CONTEXTS) -> tuple[np.ndarray, ...]:
-    """Counts of the trie of a table with a column text: grams of three symbols, and of four whose context is frequent.
+def train(texts: DataFrame, contexts: int = CONTEXTS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of the trie of a table with a column text: of three symbols, then of four to six whose context is kept.
 
-    At most 256**3 and ``256 * contexts`` numbers come to the driver, whatever
-    the corpus; usual ones have some ten thousands.
+    At most 256**3 and three times ``256 * contexts`` numbers come to the driver,
+    whatever the corpus; usual ones have some hundred thousands.
     """
-    four = texts.select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    four = cut(four, "grams")
-    two, n2 = _arrays(four.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("g")).agg(F.sum("n").alias("n")))
-    total = int(n2.sum())
-    frequent = four.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("n").alias("n")).filter(F.col("n") * contexts >= total).select("c")
-    three, n3 = _arrays(four.join(frequent, F.shiftright("gram", 8) == F.col("c"), "left_semi").select("gram", "n"))
-    return two, n2, three, n3
+    six = texts.select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    six = cut(six, "grams")
+
+    def last(k: int) -> DataFrame:
+        return six.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("g")).agg(F.sum("n").alias("n"))
+
+    out = [_arrays(last(3))]
+    total = int(out[0][1].sum())
+    for k in range(3, DEPTH + 1):
+        grams_k = last(k + 1)
+        kept = grams_k.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("m")).filter(F.col("m") * contexts >= total).select("c")
+        out.append(_arrays(grams_k.join(kept, F.shiftright("g", 8) == F.col("c"), "left_semi")))
+    return out
+
+
+def _level(counts, q_above, excluded, lower):
+    """Probabilities at a context after an escape from a longer one, whose symbols are excluded; lower: at the next shorter."""
+    q = (counts > 0).sum(axis=-1, keepdims=True) - q_above
+    total = counts.sum(axis=-1, keepdims=True) - excluded + q
+    safe = np.where(total > 0, total, 1)
+    escape = np.where(q > 0, q / safe, 1.0)
+    return np.where(counts > 0, counts / safe, escape * lower)
+
+
+def _escaped(longer, counts, lower):
+    has = longer > 0
+    return _level(counts, has.sum(axis=-1, keepdims=True), (has * counts).sum(axis=-1, keepdims=True), lower)
 
 
 class Model:
-    """Code lengths (log10 of probabilities) for every context and symbol, from the trie's counts."""
+    """Code lengths (log10 of probabilities) for every kept context and symbol, from the trie's counts."""
 
-    def __init__(self, two: np.ndarray, n2: np.ndarray, three: np.ndarray, n3: np.ndarray):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        two, n2 = levels[0]
         seen = np.unique(np.concatenate([two >> 16 & 255, two >> 8 & 255, two & 255]))
         a = len(seen) + 1  # the last symbol stands for all bytes that never occur
-        self.index = np.full(256, a - 1, np.int64)
-        self.index[seen] = np.arange(len(seen))
-        self.size = a
-        ix = self.index
+        ix = np.full(256, a - 1, np.int64)
+        ix[seen] = np.arange(len(seen))
+        self.index, self.size = ix, a
         c2 = np.zeros((a, a, a))
         c2[ix[two >> 16 & 255], ix[two >> 8 & 255], ix[two & 255]] = n2
         c1 = c2.sum(axis=0)
         c0 = c1.sum(axis=0)
-        q0 = (c0 > 0).sum()
-        unseen = 1.0 / max(1, UNIVERSE - q0)
-
-        def level(counts, q_above, excluded, lower):
-            """Probabilities at a context after an escape from a longer one, whose symbols are excluded; lower: at the next shorter."""
-            q = (counts > 0).sum(axis=-1, keepdims=True) - q_above
-            total = counts.sum(axis=-1, keepdims=True) - excluded + q
-            safe = np.where(total > 0, total, 1)
-            escape = np.where(q > 0, q / safe, 1.0)
-            return np.where(counts > 0, counts / safe, escape * lower)
-
-        zero = np.zeros((1, 1))
-        has1 = c1 > 0
-        f0 = level(c0[None, :], has1.sum(axis=1, keepdims=True), (has1 * c0).sum(axis=1, keepdims=True), np.full((1, a), unseen))
-        p2 = np.empty((a, a, a), np.float32)
-        self.f1 = np.empty((a, a, a), np.float32)
-        for x in range(a):  # the contexts (x, b)
-            has2 = c2[x] > 0
-            f1 = level(c1, has2.sum(axis=1, keepdims=True), (has2 * c1).sum(axis=1, keepdims=True), f0)
-            self.f1[x] = f1
-            p2[x] = level(c2[x], zero, zero, f1)
-        ctx = np.unique(three >> 8)
-        self.row = np.full(a**3, -1, np.int32)
-        self.row[(ix[ctx >> 16 & 255] * a + ix[ctx >> 8 & 255]) * a + ix[ctx & 255]] = np.arange(len(ctx))
-        c3 = np.zeros((len(ctx), a))
-        c3[np.searchsorted(ctx, three >> 8), ix[three & 255]] = n3
-        x, b = ix[ctx >> 8 & 255], ix[ctx & 255]
-        has3 = c3 > 0
-        below = c2[x, b]
-        f2 = level(below, has3.sum(axis=1, keepdims=True), (has3 * below).sum(axis=1, keepdims=True), self.f1[x, b])
-        p3 = level(c3, zero, zero, f2) if len(ctx) else c3
-        del self.f1
-        self.table2 = np.log10(p2).ravel()
-        self.table3 = np.log10(p3).astype(np.float32).ravel()
+        unseen = 1.0 / max(1, UNIVERSE - int((c0 > 0).sum()))
+        f0 = _escaped(c1, c0[None, :], np.full((1, a), unseen))
+        tables = [np.empty((a * a, a), np.float32)]
+        below = np.empty((a * a, a), np.float32)  # at (x, b) after the escape from it
+        for x in range(a):
+            f1 = _escaped(c2[x], c1, f0)
+            below[x * a : x * a + a] = f1
+            tables[0][x * a : x * a + a] = np.log10(_level(c2[x], 0, 0, f1))
+        counts, names = c2.reshape(a * a, a), None
+        self.child: list[np.ndarray] = []
+        self.base = [0]
+        for k, (gram, n) in enumerate(levels[1:], start=3):
+            ctx = np.unique(gram >> 8)
+            own = np.zeros((len(ctx), a))
+            own[np.searchsorted(ctx, gram >> 8), ix[gram & 255]] = n
+            shorter = ctx & ((1 << 8 * (k - 1)) - 1)
+            up = ix[shorter >> 8] * a + ix[shorter & 255] if names is None else np.searchsorted(names, shorter)
+            child = np.full(len(counts) * a, -1, np.int32)
+            child[up * a + ix[ctx >> 8 * (k - 1)]] = np.arange(len(ctx))
+            f = _escaped(own, counts[up], below[up])
+            self.base.append(self.base[-1] + len(tables[-1]))
+            self.child.append(child)
+            tables.append(np.log10(_level(own, 0, 0, f)).astype(np.float32))
+            counts, names, below = own, ctx, f.astype(np.float32)
+        self.table = np.concatenate(tables).ravel()
 
     def symbols(self, out: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol."""
+        """log10 of the probability of each symbol, at its longest kept context."""
         code = self.index[out]
-        b, s = code[place - 1], code[place]
-        pair = code[place - 2] * self.size + b
-        row = self.row[code[place - 3] * self.size**2 + pair]
-        score = self.table2[pair * self.size + s].astype(np.float64)
-        deep = row >= 0
-        score[deep] = self.table3[row[deep].astype(np.int64) * self.size + s[deep]]
-        return score
+        a = self.size
+        node = code[place - 2] * a + code[place - 1]
+        state = node.copy()
+        on = None  # the symbols whose context so far is kept
+        for k, child in enumerate(self.child):
+            at = place if on is None else place[on]
+            nxt = child[node * a + code[at - 3 - k]]
+            ok = np.flatnonzero(nxt >= 0)
+            node = nxt[ok].astype(np.int64)
+            on = ok if on is None else on[ok]
+            state[on] = self.base[k + 1] + node
+        return self.table[state * a + code[place]].astype(np.float64)
 
     def texts(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out, place, row = marked(buf, starts, ends)
@@ -159,8 +202,9 @@ class Model:
 
 
 def _loaded(counts) -> Model:
+    """The model of a broadcast's counts, made once in each worker process."""
     if counts.__dict__.get("_strake") is None:
-        counts.__dict__["_strake"] = Model(*counts.value)
+        counts.__dict__["_strake"] = Model(counts.value)
     return counts.__dict__["_strake"]
 
 
