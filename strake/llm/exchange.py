@@ -62,6 +62,12 @@ def answers_of(table: pa.Table) -> dict[int, list[np.ndarray]]:
     return {b: unpack(p) for b, p in zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True)}
 
 
+def one(table: pa.Table, name: str) -> pa.Array:
+    """A column as one array."""
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def rows_of(pairs: list[tuple[int, int, bytes]], names: tuple[str, str]) -> pa.Table:
     return pa.table({names[0]: pa.array([p[0] for p in pairs], pa.int64()), names[1]: pa.array([p[1] for p in pairs], pa.int64()), "payload": pa.array([p[2] for p in pairs], pa.binary())})
 

@@ -234,11 +234,6 @@ def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(keys, np.array([i * step for i in range(buckets)], np.uint64)), len(keys)]
 
 
-def _one(table: pa.Table, name: str) -> pa.Array:
-    column = table.column(name)
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-
-
 def score(docs: DataFrame, training, partitions: int | None = None, contexts: int = CONTEXTS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -256,7 +251,7 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
     blocks = blocks.withColumn("trains", trains)
 
     def asks(blk: int, table: pa.Table) -> dict[int, bytes]:
-        keys, own = _block_words(_one(table, "text"), table.column("trains").to_numpy())
+        keys, own = _block_words(X.one(table, "text"), table.column("trains").to_numpy())
         at = _split(keys, n)
         return {b: X.pack(keys[at[b] : at[b + 1]], own[at[b] : at[b + 1]]) for b in range(n)}
 
@@ -272,7 +267,7 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
     replies = X.answer(X.ask(blocks, asks), answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        text, trained = _one(left, "text"), left.column("trains").to_numpy()
+        text, trained = X.one(left, "text"), left.column("trains").to_numpy()
         keys, _ = _block_words(text, trained)
         got = X.answers_of(right)
         known = np.concatenate([got[b][0] for b in range(n)])

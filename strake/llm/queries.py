@@ -2,23 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, lm, mixing
+from . import decontaminate, exact, jaccard, langid, lm, mixing, quality, secrets, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fold(n: int) -> Column:
+    """The fold of a document: the CRC-32 of its id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.suffix_dedup(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
 def op3_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    return lm.score(_read(spark, sf_dir, "documents"), fold != 1)
+    return lm.score(_read(spark, sf_dir, "documents"), fold(5) != 1)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, fold(3) != 1)
+    return found.select("doc.doc_id", "lang_pred", "score").select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def _is(kind: str):
+    return lambda x: x == kind
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != secrets.ADDED)
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(F.col("spans.kind"), _is(k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +69,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ppm_score": op3_ppm_score,
+    "op4_language_id": op4_language_id,
+    "op6_quality": op6_quality,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
     "op10_mix_sources": op10_mix_sources,
 }
