@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, jaccard, langid, lm, mixing, quality, secrets, suffix
+from . import decontaminate, exact, jaccard, langid, lm, mixing, quality, secrets, suffix, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "lang_pred", "score").select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ppm_score": op3_ppm_score,
     "op4_language_id": op4_language_id,
+    "op5_main_text": op5_main_text,
     "op6_quality": op6_quality,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
