@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .scratch import cut
 
 SAMPLE = 6000
 ROUNDS = 4
@@ -172,15 +173,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "h", "x"])
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of a table (doc_id, text, lang, source, n_chars, label); at most about twice ``sample`` rows of numbers come to the driver."""
-    n = {r.known: r.n for r in rows.groupBy(F.col("label").isNotNull().alias("known")).agg(F.count("*").alias("n")).collect()}
+def train(rows: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model of rows (doc_id, text, lang, source, n_chars) and known (doc_id, label).
+
+    Only ids meet the labels. About ``sample`` labelled and as many unlabelled
+    ids are picked; these, bounded by the parameter, are broadcast to the texts,
+    and as many rows of numbers come to the driver.
+    """
+    ids = cut(rows.select("doc_id").join(known, "doc_id", "left"), "known")
+    n = {r.known: r.n for r in ids.groupBy(F.col("label").isNotNull().alias("known")).agg(F.count("*").alias("n")).collect()}
     if not n.get(True):
         return None
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
     share = F.when(F.col("label").isNotNull(), F.lit(min(1.0, sample / n[True]))).otherwise(F.lit(min(1.0, sample / max(1, n.get(False, 0)))))
-    picked = rows.filter(place < share * (1 << 20)).withColumn("h", F.xxhash64("doc_id", F.lit(12)))
-    table = picked.select("text", "lang", "source", "n_chars", F.coalesce("label", F.lit(-1)).cast("int").alias("label"), "h").mapInArrow(_features, "label int, h long, x binary").toArrow().sort_by("h")
+    picked = ids.filter(place < share * (1 << 20)).groupBy("doc_id").agg(F.coalesce(F.max("label"), F.lit(-1)).cast("int").alias("label"))
+    chosen = rows.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(12)))
+    table = chosen.select("text", "lang", "source", "n_chars", "label", "h").mapInArrow(_features, "label int, h long, x binary").toArrow().sort_by("h")
     if not table.num_rows:
         return None
     x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1)
@@ -211,7 +219,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: fl
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
-    # the labels join the ids; only rows of the sample are read for their text
-    model = train(rows.join(known, "doc_id", "left"), sample)
+    model = train(rows, known, sample)
     scored = rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model) if model else None), "doc_id long, p_text double, p_meta double, score double")
     return scored.withColumn("keep", F.col("score") >= least)
