@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +22,19 @@ def partition_of(key: Column, boundaries: list) -> Column:
         for b in boundaries:
             total = total + F.when(key >= F.lit(bytearray(b) if isinstance(b, (bytes, bytearray)) else b), 1).otherwise(0)
         return total
-    known = [bytes(b) if isinstance(b, (bytes, bytearray)) else b for b in boundaries]
-
-    @F.pandas_udf("int")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for keys in batches:
-            yield pd.Series([bisect_right(known, k) for k in keys], dtype="int32")
+    known = [bytes(b) if isinstance(b, (bytes, bytearray)) else b.encode() for b in boundaries]
+    wide = len(known[0]) if len({len(b) for b in known}) == 1 else 0
+    fixed = np.array(known, dtype=f"S{wide}") if wide else None
+
+    @F.arrow_udf("int")
+    def search(keys: pa.Array) -> pa.Array:
+        _, offsets, data = keys.buffers()
+        at = np.frombuffer(offsets, np.int32, len(keys) + 1 + keys.offset)[keys.offset :]
+        if fixed is not None and not keys.null_count and (np.diff(at) == wide).all():
+            # keys of one length lie side by side: compared as they are, zero bytes at the end count for nothing in either
+            flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(f"S{wide}") if len(keys) else fixed[:0]
+            return pa.array(np.searchsorted(fixed, flat, side="right").astype(np.int32))
+        return pa.array([None if k is None else bisect_right(known, k) for k in keys.cast(pa.binary()).to_pylist()], pa.int32())
 
     return search(key)
 

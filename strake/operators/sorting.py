@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +51,19 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     return global_sort(out)
 
 
+def merge_and_partition(runs: list[DataFrame], limits: list) -> DataFrame:
+    """The union of sorted runs with pid, each partition in order in the task of its number."""
+    merged = runs[0]
+    for run in runs[1:]:
+        merged = merged.unionByName(run)
+    return range_sort(merged, len(limits) + 1, limits)[0]
+
+
+def replicated(records: DataFrame) -> DataFrame:
+    """records kept on two executors, so that losing one costs no recomputation; otherwise lineage restores what is lost."""
+    return records.persist(StorageLevel.MEMORY_AND_DISK_2)
+
+
 def merge_iterator(records: DataFrame) -> Iterator[Row]:
     """Records in order, a partition at a time."""
     return global_sort(records).toLocalIterator(prefetchPartitions=True)

@@ -257,6 +257,14 @@ def run_merge(spark, sf_dir):
     return sorting.ranked(merged, "key", "value").select("event_id", "path", "global_rank")
 
 
+def merge_partition(spark, sf_dir):
+    """Runs of the files, merged into partitions."""
+    records = events(spark, sf_dir)
+    kinds = sorted(r.path for r in records.select("path").distinct().collect())
+    merged = sorting.merge_and_partition([sorting.sorted_chunks(records.filter(F.col("path") == k)) for k in kinds], _limits(records))
+    return merged.groupBy("pid").agg(F.count("*").alias("records"), F.hex(F.min("key")).alias("min_key"))
+
+
 def sorted_chunks(spark, sf_dir):
     """Each file ordered for itself."""
     placed = indexed(events(spark, sf_dir), "key")
@@ -409,6 +417,7 @@ ORACLES = {
     "global_sort": f"WITH {_EV} SELECT event_id, key_hex, row_number() OVER (ORDER BY key_hex, value_hex) AS global_rank FROM ev",
     "sort_ties": f"WITH {_LI} SELECT key_hex, count(*) AS records, min(rn) AS first_rank FROM (SELECT key_hex, row_number() OVER (ORDER BY key_hex, value_hex) AS rn FROM li) GROUP BY key_hex",
     "run_merge": f"WITH {_EV} SELECT event_id, path, row_number() OVER (ORDER BY key_hex, value_hex) AS global_rank FROM ev",
+    "merge_partition": f"{_PL} SELECT pid, count(*) AS records, min(key_hex) AS min_key FROM pl GROUP BY pid",
     "sorted_chunks": f"WITH {_EV} SELECT event_id, path, row_number() OVER (PARTITION BY path ORDER BY key_hex) - 1 AS record_index FROM ev",
     "top_k": f"WITH {_EV} SELECT event_id, key_hex FROM ev ORDER BY key_hex, value_hex LIMIT 100",
     "merge_statistics": f"WITH {_FI} SELECT sum(size_bytes // 100)::BIGINT AS records, (sum(size_bytes // 100) * 100)::BIGINT AS memory_bytes FROM fi",
