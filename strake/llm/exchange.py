@@ -9,8 +9,10 @@ row. A key that occurs in all documents is thus sent once a block, not once an
 occurrence. Answers meet the block's documents again in a cogroup on the block.
 Both uses of the documents are the same exchange, which Spark runs once.
 
-Blocks and buckets number twice the session's shuffle width, so both shrink or
-grow with the partitions that the cluster is set up for.
+There are two blocks and one bucket for each partition of the session's shuffle
+width, so both grow with the partitions that the cluster is set up for, and the
+packed rows are as many as a shuffle has segments, twice. Blocks and buckets have
+numbers that Spark's hash deals evenly to the partitions.
 """
 
 from __future__ import annotations
@@ -26,14 +28,54 @@ from .scratch import width
 
 ASK = "bucket long, blk long, payload binary"
 ANSWER = "blk long, bucket long, payload binary"
-
-
-def in_blocks(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, int]:
-    """blk, doc_id, text dealt by block, and the number of blocks; ids that are null are dealt by their text."""
+BLOCKS = 2
+#: Beyond so many, keys are plain numbers: dealt evenly but for chance.
+CHOSEN = 20_000
+
+
+def _murmur3(keys: np.ndarray, seed: int = 42) -> np.ndarray:
+    """Spark's hash of a long, by which it deals rows to partitions."""
+    m = np.uint64(0xFFFFFFFF)
+
+    def turn(x, r):
+        return (x << np.uint64(r) | x >> np.uint64(32 - r)) & m
+
+    h = np.full(len(keys), seed, np.uint64)
+    wide = keys.astype(np.uint64)
+    for part in (wide & m, wide >> np.uint64(32)):
+        k = turn(part * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (turn(h ^ k, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+    h ^= np.uint64(8)
+    h = (h ^ h >> np.uint64(16)) * np.uint64(0x85EBCA6B) & m
+    h = (h ^ h >> np.uint64(13)) * np.uint64(0xC2B2AE35) & m
+    return (h ^ h >> np.uint64(16)).astype(np.uint32).view(np.int32)
+
+
+def even_keys(n: int, each: int = 1) -> list[int]:
+    """n * each numbers of which Spark's hash deals ``each`` to every one of n partitions."""
+    if n * each > CHOSEN:
+        return list(range(n * each))
+    found: list[list[int]] = [[] for _ in range(n)]
+    left, start = n * each, 0
+    while left:
+        keys = np.arange(start, start + 4 * n * each)
+        for key, p in zip(keys.tolist(), (_murmur3(keys).astype(np.int64) % n).tolist(), strict=True):
+            if len(found[p]) < each:
+                found[p].append(key)
+                left -= 1
+        start += len(keys)
+    return [k for ks in found for k in ks]
+
+
+def in_blocks(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, list[int]]:
+    """blk, doc_id, text dealt by block, and the buckets' numbers; ids that are null are dealt by their text."""
     n = width(docs.sparkSession, partitions)
+    keys = even_keys(n, BLOCKS)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(2 * n)).alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return rows.repartition(n, "blk"), 2 * n
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(len(keys)))
+    blk = place if keys[-1] == len(keys) - 1 else F.element_at(F.lit(keys), (place + 1).cast("int")).cast("long")
+    rows = docs.select(blk.alias("blk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.repartition(n, "blk"), even_keys(n)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

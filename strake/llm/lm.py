@@ -247,13 +247,14 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
     spark = docs.sparkSession
     trains = F.coalesce(training, F.lit(False))
     counts = spark.sparkContext.broadcast(train(docs.filter(trains).select(F.coalesce("text", F.lit("")).alias("text")), contexts))
-    blocks, n = X.in_blocks(docs, partitions)
+    blocks, names = X.in_blocks(docs, partitions)
+    n = len(names)
     blocks = blocks.withColumn("trains", trains)
 
     def asks(blk: int, table: pa.Table) -> dict[int, bytes]:
         keys, own = _block_words(X.one(table, "text"), table.column("trains").to_numpy())
         at = _split(keys, n)
-        return {b: X.pack(keys[at[b] : at[b + 1]], own[at[b] : at[b + 1]]) for b in range(n)}
+        return {names[b]: X.pack(keys[at[b] : at[b + 1]], own[at[b] : at[b + 1]]) for b in range(n)}
 
     def answers(blks: list[int], payloads: list[bytes]) -> list[bytes]:
         asked = [X.unpack(p) for p in payloads]
@@ -270,8 +271,8 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
         text, trained = X.one(left, "text"), left.column("trains").to_numpy()
         keys, _ = _block_words(text, trained)
         got = X.answers_of(right)
-        known = np.concatenate([got[b][0] for b in range(n)])
-        total, distinct = (sum(int(got[b][1][i]) for b in range(n)) for i in (0, 1))
+        known = np.concatenate([got[b][0] for b in names])
+        total, distinct = (sum(int(got[b][1][i]) for b in names) for i in (0, 1))
         rows = len(trained)
         n_tokens, n_known, base, ppm = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
         logs = np.log10(known + 0.5)

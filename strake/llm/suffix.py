@@ -35,7 +35,7 @@ from . import textkit as K
 THRESHOLD = 50
 GRAM = 20
 _NO_ID = np.iinfo(np.int64).max
-_LOCAL = 1 << 19
+_LOCAL = 1 << 17
 _PLACE_BITS = 28
 
 
@@ -66,7 +66,8 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: in
     at = starts[row] + np.arange(len(row)) - (np.cumsum(room) - room)[row]
     place = place[at]
     new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
-    return h[place[new]] >> np.uint64(16), row[new], at[new], np.diff(np.r_[new, len(row)])
+    # minimisers are small hashes: mixed again, they spread evenly over the buckets
+    return K.mix64(h[place[new]] ^ np.uint64(K.BASE)) >> np.uint64(16), row[new], at[new], np.diff(np.r_[new, len(row)])
 
 
 def _runs(text: pa.Array, threshold: int, gram: int):
@@ -108,41 +109,79 @@ def shared_anchors(blks: list[int], payloads: list[bytes]) -> list[bytes]:
     return [X.pack(np.packbits(part)) for part in np.split(many[back], ends[:-1])]
 
 
+#: Suffixes that the passes after the first take at once.
+_CHUNK = 1 << 18
+
+
 def radix_groups(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """A number for each suffix of ``data`` that starts at ``at``: equal for those that agree through ``depth`` bytes.
 
-    Most significant digit first, eight bytes a pass. A suffix whose group has
-    shrunk to itself takes no part in later passes.
+    Most significant digit first, eight bytes a pass. The first pass orders all;
+    the later ones take one range of first digits after the other, and a suffix
+    whose group has shrunk to itself takes no part in them.
     """
     padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
     digits = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded.data, strides=(1,))
+
+    def digit(rows: np.ndarray, d: int) -> np.ndarray:
+        out = digits[at[rows] + d].astype(np.uint64)
+        return out >> np.uint64(8 * (8 - (depth - d))) if depth - d < 8 else out
+
     group = np.zeros(len(at), np.int64)
-    active = np.arange(len(at))
-    fresh = 1
-    for d in range(0, depth, 8):
-        if not len(active):
-            break
-        digit = digits[at[active] + d].astype(np.uint64)
-        if depth - d < 8:
-            digit >>= np.uint64(8 * (8 - (depth - d)))
-        order = np.lexsort((digit, group[active])) if d else np.argsort(digit)
-        active, digit = active[order], digit[order]
-        new = np.r_[True, (digit[1:] != digit[:-1]) | (group[active][1:] != group[active][:-1])]
-        name = np.cumsum(new) - 1
-        group[active] = name + fresh
-        fresh += int(name[-1]) + 1
-        active = active[np.bincount(name)[name] > 1]
+    if not len(at):
+        return group
+    lead = digit(np.arange(len(at)), 0)
+    order = np.argsort(lead)
+    lead = lead[order]
+    new = np.r_[True, lead[1:] != lead[:-1]]
+    del lead
+    group[order] = np.cumsum(new) - 1
+    fresh = int(group[order[-1]]) + 1
+    begin = np.flatnonzero(new)
+    size = np.diff(np.r_[begin, len(order)])
+    order = order[np.repeat(size > 1, size)]
+    ends = np.cumsum(size[size > 1])
+    lo = 0
+    while lo < len(order):
+        hi = int(ends[min(len(ends) - 1, int(np.searchsorted(ends, lo + _CHUNK)))])
+        active = order[lo:hi]
+        lo = hi
+        for d in range(8, depth, 8):
+            if not len(active):
+                break
+            own, key = group[active], digit(active, d)
+            place = np.lexsort((key, own))
+            active, own, key = active[place], own[place], key[place]
+            new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+            name = np.cumsum(new) - 1
+            group[active] = name + fresh
+            fresh += int(name[-1]) + 1
+            active = active[np.bincount(name)[name] > 1]
     return group
 
 
+#: First digits are dealt to so many parts, which are ordered one after the other: a bound on working memory.
+_PARTS = 8
+
+
 def first_owners(data: np.ndarray, at: np.ndarray, windows: np.ndarray, owner: np.ndarray, threshold: int) -> np.ndarray:
     """For every window of some runs of bytes, the smallest owner of a run that has it too."""
-    run = np.repeat(np.arange(len(at)), windows)
-    place = at[run] + np.arange(len(run)) - (np.cumsum(windows) - windows)[run]
-    group = radix_groups(data, place, threshold)
-    least = np.full(int(group.max()) + 1 if len(group) else 0, _NO_ID)
-    np.minimum.at(least, group, owner[run])
-    return least[group]
+    run = np.repeat(np.arange(len(at), dtype=np.int32), windows)
+    place = (at - np.cumsum(windows) + windows).astype(np.int32)[run] + np.arange(len(run), dtype=np.int32)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lead = np.ndarray((len(padded) - 7,), dtype=np.uint64, buffer=padded.data, strides=(1,))[place]
+    lead *= np.uint64(K.BASE)
+    lead >>= np.uint64(61)
+    part = lead.astype(np.uint8)
+    del lead
+    out = np.empty(len(run), np.int64)
+    for p in range(_PARTS):
+        mine = np.flatnonzero(part == p)
+        group = radix_groups(data, place[mine], threshold)
+        least = np.full(int(group.max()) + 1 if len(group) else 0, _NO_ID)
+        np.minimum.at(least, group, owner[run[mine]])
+        out[mine] = least[group]
+    return out
 
 
 def _owners(threshold: int):
@@ -194,12 +233,13 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
     rows lose what others have and take nothing from anyone; rows that repeat an
     id take nothing from each other. An empty table gives no rows.
     """
-    blocks, n = X.in_blocks(docs, partitions)
+    blocks, names = X.in_blocks(docs, partitions)
+    n = len(names)
 
     def ask_anchors(blk: int, table: pa.Table) -> dict[int, bytes]:
         keys, many = _block_anchors(X.one(table, "text"), threshold, gram)
         at = _split(keys, n)
-        return {b: X.pack(*_wide(keys[at[b] : at[b + 1]]), np.packbits(many[at[b] : at[b + 1]])) for b in range(n) if at[b] < at[b + 1]}
+        return {names[b]: X.pack(*_wide(keys[at[b] : at[b + 1]]), np.packbits(many[at[b] : at[b + 1]])) for b in range(n) if at[b] < at[b + 1]}
 
     shared = X.answer(X.ask(blocks, ask_anchors), shared_anchors)
 
@@ -212,7 +252,10 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
         at = _split(keys, n)
         got = X.answers_of(right)
         many = np.zeros(len(keys), bool)
-        for b, (bits,) in got.items():
+        for b in range(n):
+            if names[b] not in got:
+                continue
+            (bits,) = got[names[b]]
             many[at[b] : at[b + 1]] = np.unpackbits(bits, count=int(at[b + 1] - at[b])).astype(bool)
         keys = keys[many]
         parts: list[tuple] = []
@@ -249,7 +292,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
             f = first[cut[b] : cut[b + 1]]
             if len(f):
                 which = np.repeat(begin[f] - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())
-                rows.append((b, blk, X.pack(data[which], size[f].astype(np.uint8), best[cut[b] : cut[b + 1]])))
+                rows.append((names[b], blk, X.pack(data[which], size[f].astype(np.uint8), best[cut[b] : cut[b + 1]])))
         return X.rows_of(rows, ("bucket", "blk"))
 
     asked = blocks.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(ask_runs, X.ASK)
