@@ -61,10 +61,10 @@ def test_radix_groups_order_equal_windows():
 
 
 def test_even_keys_are_even():
-    for n in (1, 4, 51, 211):
-        keys = exchange.even_keys(n)
-        assert len(set(keys)) == 2 * n
-        assert (np.bincount(exchange._murmur3(np.array(keys)).astype(np.int64) % n, minlength=n) == 2).all()
+    for n, each in ((1, 1), (4, 3), (51, 2), (211, 1)):
+        keys = exchange.even_keys(n, each)
+        assert len(set(keys)) == each * n
+        assert (np.bincount(exchange._murmur3(np.array(keys)).astype(np.int64) % n, minlength=n) == each).all()
 
 
 def test_pack_round_trip():
