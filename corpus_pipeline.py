@@ -15,7 +15,7 @@ from strake.llm.scratch import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language that the classifier tells with a probability of a half."""
+    """Drops documents without letters, and those in no language that the classifier can tell."""
     return langid.accepted_rows(docs, fold(3) != 1)
 
 
