@@ -352,9 +352,10 @@ def _hash(share: float) -> str:
 
 
 def _bounds(source: str, rule: str = "coordinator", parts: int = PARTS) -> str:
-    at = "i * (m // p)" if rule == "coordinator" else "(m * i) // p"
+    # only the coordinator's rule lowers the number of partitions to that of the samples
+    at, count = ("i * (m // p)", f"least({parts}, greatest(m, 1))") if rule == "coordinator" else ("(m * i) // p", str(parts))
     return f"""s AS (SELECT key_hex, row_number() OVER (ORDER BY key_hex) - 1 AS rn FROM {source} WHERE {_hash(SHARE)}),
-       q AS (SELECT m, least({parts}, greatest(m, 1)) AS p FROM (SELECT count(*) AS m FROM s)),
+       q AS (SELECT m, {count} AS p FROM (SELECT count(*) AS m FROM s)),
        b AS (SELECT i AS boundary, key_hex FROM (SELECT unnest(range(1, p)) AS i, m, p FROM q) x JOIN s ON s.rn = {at})"""
 
 
