@@ -39,6 +39,10 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
 STEP = 16
 BLOCK = 512
+#: N-grams of a text of usual length; longer texts make blocks of fewer.
+HEAVY = 1000
+#: Sizes of up to so many clusters over a block are broadcast (16 bytes each); more are joined.
+BROADCAST_CLUSTERS = 100_000
 _PLACE = K.mix64(np.arange(1, 65, dtype=np.uint64))
 _XOR = K.mix64(np.arange(1000, 1000 + HASHES, dtype=np.uint64))
 _ODD = K.mix64(np.arange(5000, 5000 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -279,13 +283,17 @@ def _verify(least: dict[int, int], ngram: int, threshold: float):
         sig = _signatures(table.column("bands"))
         text = pa.concat_arrays(table.column("text").chunks)
         ends = np.r_[cuts[1:], table.num_rows]
-        links, parent = np.zeros(table.num_rows, np.int64), k.copy()
+        ids = table.column("id").to_numpy()
+        links, parent = np.zeros(table.num_rows, np.int64), ids.copy()
         for lo, hi in zip(cuts, ends, strict=True):
             own = dict(_sets(text[lo:hi], ngram))
             none = np.zeros(0, np.uint64)
             sets = [own.get(r, none) for r in range(hi - lo)]
             # a row that repeats an id with another text has another key: it is not this text
             real = np.array([len(s) > 0 and set_key(s).view(np.int64) == k[lo + r] for r, s in enumerate(sets)])
+            seen = np.flatnonzero(real)
+            _, once = np.unique(k[lo:hi][seen], return_index=True)  # repeated rows are one text
+            real[np.delete(seen, once)] = False
             size = np.array([len(s) for s in sets])
             if cross[lo] and len(np.unique(blk[lo:hi])) < 2:
                 continue
@@ -311,13 +319,13 @@ def _verify(least: dict[int, int], ngram: int, threshold: float):
                 found += np.bincount(a, minlength=hi - lo) + np.bincount(b, minlength=hi - lo)
                 forest.join(a, b)
             links[lo:hi] = found
-            parent[lo:hi] = k[lo:hi][forest.roots()]
-        return pa.table({"k": k, "other": parent, "links": links})
+            parent[lo:hi] = ids[lo:hi][forest.roots()]
+        return pa.table({"k": k, "id": ids, "other": parent, "links": links})
 
     return work
 
 
-def _dealt(rows: DataFrame, count: str, key: str, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, count: str, block: int) -> DataFrame:
     """Rows of a group as blocks and pairs of blocks: one pair (0, 0) for most, all pairs for groups over ``block``."""
     n = F.ceil(F.col(count) / F.lit(block)).cast("int")
     mine = rows.withColumn("blk", F.pmod(F.xxhash64("k", F.lit(7)), n).cast("int"))
@@ -342,29 +350,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
     least = least_matches(threshold, tolerance)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = cut(read.mapInArrow(_signer(ngram), "doc_id long, k long, size long, bands array<long>"), "signatures")
-    texts = signed.filter("size > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("bands").alias("bands"))
+    texts = signed.filter("size > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = cut(texts, "texts")
 
     band = texts.select("k", F.posexplode("bands").alias("b", "v")).select("k", F.xxhash64("b", "v").alias("bucket"))
     shared = band.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    members = _dealt(band.join(shared, "bucket"), "c", "bucket", block).join(texts.select("k", "bands"), "k")
+    members = _dealt(band.join(shared, "bucket"), "c", block).join(texts.select("k", "bands"), "k")
     order = ["bucket", "i", "j"]
     placed = members.repartition(n, *order).sortWithinPartitions(*order)
     edges = placed.select(*order, "blk", "k", "bands").mapInArrow(_grouped(order, _cluster(least), ["a", "b"]), "a long, b long")
     clusters = cut(components(edges).withColumnsRenamed({"node": "k", "root": "cluster"}), "clusters")
 
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("c"))
-    members = _dealt(clusters.join(sizes, "cluster"), "c", "cluster", block).join(texts.select("k", "id", "bands"), "k")
+    members = cut(clusters.join(texts.select("k", "id", "size", "bands"), "k"), "members")
+    # a cluster counts by its texts, or by its n-grams if they are many; only those over a block need to be known,
+    # and there is at most one of these for each ``block`` texts or ``block * HEAVY`` n-grams
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("size") / HEAVY)).cast("long")
+    large = cut(members.groupBy("cluster").agg(weight.alias("c")).filter(F.col("c") > block), "large")
+    sized = members.join(F.broadcast(large) if large.count() <= BROADCAST_CLUSTERS else large, "cluster", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    members = _dealt(sized, "c", block).drop("size")
     members = members.join(read.withColumnRenamed("doc_id", "id"), "id")
     order = ["cluster", "i", "j"]
     placed = members.repartition(n, *order).sortWithinPartitions(*order, "k")
-    verified = cut(placed.select(*order, "blk", "k", "bands", "text").mapInArrow(_grouped(order, _verify(least, ngram, threshold), ["k", "other", "links"]), "k long, other long, links long"), "links")
+    names = ["k", "id", "other", "links"]
+    verified = cut(placed.select(*order, "blk", "k", "id", "bands", "text").mapInArrow(_grouped(order, _verify(least, ngram, threshold), names), "k long, id long, other long, links long"), "links")
 
     links = verified.groupBy("k").agg(F.sum("links").alias("n_links"))
-    roots = components(verified.select(F.col("k").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "k")
-    known = cut(texts.select("k", "id", "n_copies").join(links, "k", "left").join(roots, "k", "left"), "known")
-    least_id = known.filter("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    known = known.join(least_id, "root", "left").select("k", F.coalesce("least", "id").alias("class"), "n_links", "n_copies")
+    # nodes are ids here, so a class's root is its smallest id
+    classes = components(verified.select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "id", "root": "class"})
+    known = texts.select("k", "id", "n_copies").join(links, "k", "left").join(classes, "id", "left")
+    known = cut(known.select("k", F.coalesce("class", "id").alias("class"), "n_links", "n_copies"), "known")
     own = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("k"))
     rows = signed.select("doc_id", own.alias("k")).join(known, "k", "left")
     return rows.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
@@ -373,4 +387,4 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, ngram: int = NGRAM) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class, with all their columns; rows without id stay."""
     dropped = near_duplicates(docs, threshold, ngram).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
