@@ -29,7 +29,7 @@ FEATURES = PLACES * ORDERS
 ROWS_PER_LANGUAGE = 1000
 UNKNOWN = "und"
 _STEP = K.mix64(np.arange(31, 31 + ORDERS, dtype=np.uint64)) | np.uint64(1)
-_LOCAL = 1 << 19
+_LOCAL = 1 << 17
 
 
 def characters(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +217,10 @@ def identify(docs: DataFrame, training: Column, keep_text: bool = False, rows_pe
     return packed.mapInArrow(_predictor(spark.sparkContext.broadcast(model) if model else None, schema.names, not keep_text), schema)
 
 
-def accepted_rows(docs: DataFrame, training: Column, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with probability ``least`` or more, with all their columns."""
+def accepted_rows(docs: DataFrame, training: Column, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose language is told with probability ``least`` or more, with all their columns.
+
+    Clean texts of a few words are told with little certainty, so the default
+    rejects only what is hardly better than a guess.
+    """
     return identify(docs, training, keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
