@@ -36,7 +36,8 @@ THRESHOLD = 50
 GRAM = 20
 _NO_ID = np.iinfo(np.int64).max
 _LOCAL = 1 << 17
-_PLACE_BITS = 28
+#: Bits of a place in a piece: a text has under 2**31 bytes.
+_PLACE_BITS = 31
 
 
 def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -82,9 +83,11 @@ def _block_anchors(text: pa.Array, threshold: int, gram: int) -> tuple[np.ndarra
         hashes.append(h)
         rows.append(row + i)
     h, row = np.concatenate(hashes), np.concatenate(rows)
+    if not len(h):  # only texts under the threshold
+        return h, np.zeros(0, bool)
     order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     last = np.r_[first[1:], len(h)] - 1
     return h[first], row[first] != row[last]
 
@@ -167,7 +170,8 @@ _PARTS = 8
 def first_owners(data: np.ndarray, at: np.ndarray, windows: np.ndarray, owner: np.ndarray, threshold: int) -> np.ndarray:
     """For every window of some runs of bytes, the smallest owner of a run that has it too."""
     run = np.repeat(np.arange(len(at), dtype=np.int32), windows)
-    place = (at - np.cumsum(windows) + windows).astype(np.int32)[run] + np.arange(len(run), dtype=np.int32)
+    kind = np.int32 if max(len(data), len(run)) < 1 << 31 else np.int64
+    place = (at - np.cumsum(windows) + windows).astype(kind)[run] + np.arange(len(run), dtype=kind)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lead = np.ndarray((len(padded) - 7,), dtype=np.uint64, buffer=padded.data, strides=(1,))[place]
     lead *= np.uint64(K.BASE)
