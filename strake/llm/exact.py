@@ -88,7 +88,7 @@ def _runs(keep: list[str], id_at: str):
 
 def _marked(docs: DataFrame, packed: bool, partitions: int | None) -> DataFrame:
     """Every row with its run: _id, [_doc,] _sha, _keep, _size, _head and, if the run goes on elsewhere, the whole of it in e."""
-    n = width(docs.sparkSession, partitions)
+    n = width(docs, partitions)
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.translate(text, SPACE, "")
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc") if packed else text.alias("_text")

@@ -9,9 +9,10 @@ row. A key that occurs in all documents is thus sent once a block, not once an
 occurrence. Answers meet the block's documents again in a cogroup on the block.
 Both uses of the documents are the same exchange, which Spark runs once.
 
-There are two blocks and one bucket for each partition of the session's shuffle
-width, so both grow with the partitions that the cluster is set up for, and the
-packed rows are as many as a shuffle has segments, twice. Blocks and buckets have
+There are two blocks and one bucket for each partition. Partitions are the
+session's shuffle width, but at least one for each 128 MB stored, so blocks stay
+small however the session is set; packed rows are as many as a shuffle has
+segments, twice. Blocks and buckets have
 numbers that Spark's hash deals evenly to the partitions.
 """
 
@@ -69,7 +70,7 @@ def even_keys(n: int, each: int = 1) -> list[int]:
 
 def in_blocks(docs: DataFrame, partitions: int | None = None) -> tuple[DataFrame, list[int]]:
     """blk, doc_id, text dealt by block, and the buckets' numbers; ids that are null are dealt by their text."""
-    n = width(docs.sparkSession, partitions)
+    n = width(docs, partitions)
     keys = even_keys(n, BLOCKS)
     text = F.coalesce(F.col("text"), F.lit(""))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text), F.lit(len(keys)))
@@ -107,7 +108,11 @@ def answers_of(table: pa.Table) -> dict[int, list[np.ndarray]]:
 def one(table: pa.Table, name: str) -> pa.Array:
     """A column as one array."""
     column = table.column(name)
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if column.num_chunks == 1:
+        return column.chunk(0)
+    if pa.types.is_string(column.type) and column.nbytes >= 1 << 31:
+        column = column.cast(pa.large_string())
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def rows_of(pairs: list[tuple[int, int, bytes]], names: tuple[str, str]) -> pa.Table:

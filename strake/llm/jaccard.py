@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
     copies of nothing and linked to nothing; their class is null. Rows that
     repeat an id and a text are copies. An empty table gives no rows.
     """
-    n = width(docs.sparkSession, partitions)
+    n = width(docs, partitions)
     least = least_matches(threshold, tolerance)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = cut(read.mapInArrow(_signer(ngram), "doc_id long, k long, size long, bands array<long>"), "signatures")

@@ -14,6 +14,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stored bytes for each partition at most, whatever the session says.
+PARTITION_BYTES = 128 * 1024 * 1024
+#: Sizes from here on are the planner's word for not knowing.
+UNKNOWN = 1 << 60
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -54,9 +59,17 @@ def clear() -> None:
             return
 
 
-def width(spark: SparkSession, asked: int | None = None) -> int:
-    """Shuffle width: what the caller asks, or the session's setting."""
-    return max(1, asked or int(spark.conf.get("spark.sql.shuffle.partitions")))
+def width(df: DataFrame, asked: int | None = None) -> int:
+    """How many partitions to deal ``df`` to: as asked, else the session's setting, but at least one for each ``PARTITION_BYTES``.
+
+    The size is the planner's, from the files' lengths; nothing is read for it.
+    Where the planner does not know it, the setting holds.
+    """
+    if asked:
+        return asked
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, n, -(-size // PARTITION_BYTES) if size < UNKNOWN else 0)
 
 
 atexit.register(clear)
