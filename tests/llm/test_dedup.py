@@ -169,3 +169,16 @@ def test_components(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102, 200)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_short_texts_and_many_blocks(spark):
+    """Blocks without a window, and blocks without a document, are no trouble to any operator."""
+    rows = [(i, prose(i, 2)) for i in range(12)] + [(50, prose(70, 40)), (51, prose(70, 40))]
+    table = docs(spark, rows)
+    got = {r.doc_id: (r.spans, bytes(r.kept)) for r in suffix.suffix_dedup(table, partitions=40).collect()}
+    assert got == {i: v for (i, *_), v in zip(rows, removed(rows), strict=True)}
+    assert suffix.suffix_dedup(docs(spark, rows[:12]), partitions=5).filter("size(spans) > 0").count() == 0
+    assert sum(r.kept for r in exact.exact_dedup(table, 40).collect()) == len({t for _, t in rows})
+    found = {r.doc_id: r.class_id for r in jaccard.near_duplicates(table, partitions=40).collect()}
+    want = links(rows)
+    assert found == {i: want[i][0] for i, _ in rows}

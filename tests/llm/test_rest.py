@@ -188,3 +188,19 @@ def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11)) and set(ORACLES) < set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
     assert sha(b"") == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_width_follows_the_data(spark, tmp_path, monkeypatch):
+    """At least a partition for so many stored bytes, whatever the session says; the setting where the size is unknown."""
+    from strake.llm import scratch, suffix
+
+    table = docs(spark, corpus(8, 60))
+    assert scratch.width(table) == 4 and scratch.width(table, 9) == 9
+    table.write.parquet(str(tmp_path / "d"))
+    stored = spark.read.parquet(str(tmp_path / "d"))
+    assert scratch.width(stored) == 4
+    monkeypatch.setattr(scratch, "PARTITION_BYTES", 8_000)
+    n = scratch.width(stored)
+    assert n > 8
+    wide = {(r.doc_id, bytes(r.kept)) for r in suffix.suffix_dedup(stored).collect()}
+    assert wide == {(r.doc_id, bytes(r.kept)) for r in suffix.suffix_dedup(stored, partitions=3).collect()}
