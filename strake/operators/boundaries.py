@@ -52,21 +52,26 @@ def picks(n: int, partitions: int, rule: str) -> list[int]:
 
 
 def boundaries(samples: DataFrame, partitions: int, rule: str = "coordinator", key: str = "key") -> list:
-    """The boundary keys of a sample, in order; equal keys stay (their partitions are empty)."""
-    ordered = samples.select(key).orderBy(key).withColumn("_at", F.monotonically_increasing_id())
-    # the sample is sorted once; ranks come from the rows before each part of it
-    parts = {r.p: r.n for r in ordered.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    first, n = {}, 0
-    for p in sorted(parts):
-        first[p], n = n, n + parts[p]
-    wanted = picks(n, partitions, rule)
-    if not wanted:
-        return []
-    ids = {}
-    for rank in set(wanted):
-        p = max((q for q in first if first[q] <= rank and parts[q]), key=first.get)
-        ids[rank] = (p << 33) + rank - first[p]
-    rows = {r._at: r[key] for r in ordered.filter(F.col("_at").isin(list(ids.values()))).collect()}
+    """The boundary keys of a sample, in order; equal keys stay (their partitions are empty).
+
+    The sample is sorted once and kept for the two looks at it, as a second sort
+    could be split at other keys. Only the picked rows come to the driver.
+    """
+    ordered = samples.select(key).orderBy(key).withColumn("_at", F.monotonically_increasing_id()).persist()
+    try:
+        parts = {r.p: r.n for r in ordered.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+        first, n = {}, 0
+        for p in sorted(parts):
+            first[p], n = n, n + parts[p]
+        wanted = picks(n, partitions, rule)
+        ids = {}
+        for rank in set(wanted):
+            p = max((q for q in first if first[q] <= rank), key=first.get)
+            ids[rank] = (p << 33) + rank - first[p]
+        places = samples.sparkSession.createDataFrame([(i,) for i in ids.values()], "_at long")
+        rows = {r._at: r[key] for r in ordered.join(F.broadcast(places), "_at").collect()} if ids else {}
+    finally:
+        ordered.unpersist()
     return [rows[ids[rank]] for rank in wanted]
 
 

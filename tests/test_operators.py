@@ -161,6 +161,18 @@ def test_ranks_and_top_k(spark):
     assert [bytes(r.key) for r in sorting.top_k(table(spark, ks), 5, "key").collect()] == sorted(ks)[:5]
 
 
+def test_ranks_do_not_hang_on_the_partitions(spark):
+    """More rows than are sampled, in ever other partitions: the ranks are those of one sort."""
+    r = random.Random(3)
+    rows = [(f"f{r.randrange(3)}", r.randrange(-50, 50), r.randbytes(10)) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "path string, n long, key binary")
+    want = list(enumerate(sorted(rows), 1))
+    for split, parts in ((1, 2), (9, 60)):
+        got = sorted((x.global_rank, (x.path, x.n, bytes(x.key))) for x in sorting.ranked(df.repartition(split), "path", "n", "key", partitions=parts).collect())
+        assert got == want
+    assert sorting.ranked(df.limit(0), "path").count() == 0
+
+
 def test_record_ranges(spark):
     files = spark.createDataFrame([("b", 1050), ("a", 399), ("c", 99), ("b", 1050)], "path string, size_bytes long")
     got = sorted(tuple(r) for r in assignment.record_ranges(files, 4).collect())
