@@ -82,7 +82,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(pairs, np.arange(j - i + 1) * FEATURES)
             for k in range(j - i):
                 fs[i + k], ns[i + k] = pairs[at[k] : at[k + 1]] % FEATURES, n[at[k] : at[k + 1]]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(fs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64()))], names=["lang", "h", "f", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(fs, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=["lang", "h", "f", "n"])
 
 
 class Follower:
@@ -161,13 +161,16 @@ def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: i
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / per[lang])))])
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     picked = rows.withColumn("h", h).filter(F.col("h") < share[F.col("lang")])
-    sample = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).mapInArrow(_sparse, "lang string, h long, f array<long>, n array<long>").toArrow()
+    sample = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).mapInArrow(_sparse, "lang string, h long, f array<int>, n array<int>").toArrow()
     data = []
-    for lang, hash_, f, n in zip(*(sample.column(c).to_pylist() for c in ("lang", "h", "f", "n")), strict=True):
-        f, n = np.array(f, np.int64), np.array(n, float)
-        if len(f):
-            data.append((hash_, langs.index(lang), f, n * idf[f] / max(1, n[f < PLACES].sum())))
-    data.sort(key=lambda x: x[0])
+    for batch in sample.to_batches():
+        ends = np.asarray(batch.column("f").offsets)
+        every, counts = batch.column("f").values.to_numpy(), batch.column("n").values.to_numpy()
+        for k, (lang, hash_) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True)):
+            f, n = every[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
+            if len(f):
+                data.append((hash_, langs.index(lang), f, (n * idf[f] / max(1, n[f < PLACES].sum())).astype(np.float32)))
+    data.sort(key=lambda x: (x[0], x[1], len(x[2])))
     if not data:
         return Model(langs, np.zeros((FEATURES, len(langs)), np.float32), np.zeros(len(langs)))
     scale = 1 / np.mean([np.sqrt((x * x).sum()) for _, _, _, x in data])
