@@ -158,6 +158,22 @@ def test_pages_without_articles_follow_their_host(spark):
     assert wrappers.extract(table.limit(0)).count() == 0
 
 
+def _extracted(spark, pages, host="h.example"):
+    table = spark.createDataFrame([(i, f"http://{host}/{i}", page) for i, page in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in wrappers.extract(table).orderBy("page_id").collect()]
+
+
+def test_long_constants_are_template(spark):
+    """With an article or without, in a run or alone, a long text that all pages share is the host's; a long slot beside an article is text."""
+    legal, note = prose(900, 20), prose(901, 20)
+    texts = [(prose(i, 20), prose(i + 50, 20)) for i in range(6)]
+    plain = [f"<div>{note}</div><div><p>{a}</p><p>{b}</p><p>{legal}</p></div><ul><li>Home</li><li>About</li></ul>" for a, b in texts]
+    article = [f"<article><p>{a}</p><p>{legal}</p></article><div>{note}</div><section>{b}</section>" for a, b in texts]
+    want = [f"{a}\n\n{b}" for a, b in texts]
+    assert _extracted(spark, plain) == want
+    assert _extracted(spark, article) == want
+
+
 def test_pipeline_stages_apply_in_turn(spark, tmp_path):
     """Each stage returns the columns of documents, drops what it must and nothing clean."""
     langs = {"en": "the of and ing", "fr": "été où çà né"}
