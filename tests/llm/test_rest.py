@@ -174,6 +174,16 @@ def test_long_constants_are_template(spark):
     assert _extracted(spark, article) == want
 
 
+def test_short_blocks_are_text(spark):
+    """A short block of some pages, of copies of one page, or inside articles is no template, however many pages a host has."""
+    texts = [prose(i, 20) for i in range(7)]
+    some = [f"<div>Our site</div><p>{t}</p>" + "<h2>Why so</h2><pre>One line</pre>" * (i == 2) for i, t in enumerate(texts)]
+    assert _extracted(spark, some) == [t + "\n\nWhy so\n\nOne line" * (i == 2) for i, t in enumerate(texts)]
+    for n in (4, 5, 9):
+        assert _extracted(spark, [f"<h1>Top</h1><p>{texts[0]}</p><p>Two</p><div>End</div>"] * n) == [f"Top\n\n{texts[0]}\n\nTwo\n\nEnd"] * n
+    assert _extracted(spark, [f"<article><p>{t}</p><div>In short</div></article>" for t in texts]) == [f"{t}\n\nIn short" for t in texts]
+
+
 def test_pipeline_stages_apply_in_turn(spark, tmp_path):
     """Each stage returns the columns of documents, drops what it must and nothing clean."""
     langs = {"en": "the of and ing", "fr": "été où çà né"}
