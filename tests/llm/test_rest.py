@@ -184,6 +184,15 @@ def test_short_blocks_are_text(spark):
     assert _extracted(spark, [f"<article><p>{t}</p><div>In short</div></article>" for t in texts]) == [f"{t}\n\nIn short" for t in texts]
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "with-sidebar", "has-comments", "sticky-header", "search-results", "ad-free", "sidebar", "noSidebar wrap"])
+def test_names_around_the_text_exclude_nothing(name):
+    for attr in ("class", "id"):
+        assert wrappers.main_text(f"<div {attr}='{name}'><article><p>Alpha</p><div class='cookie-notice'>We use</div><div class='box ad'>Buy</div></article></div>", set(), set()) == "Alpha"
+        assert wrappers.main_text(f"<div {attr}='{name}'><p>{prose(1, 20)}</p></div><div class='ad'>Buy</div>", set(), set()) == prose(1, 20)
+    beside = "<article><p>Alpha</p></article><div id='comments'><article><p>A comment that is longer than all of the rest</p></article></div>"
+    assert wrappers.main_text(beside, set(), set()) == "Alpha"
+
+
 def test_pipeline_stages_apply_in_turn(spark, tmp_path):
     """Each stage returns the columns of documents, drops what it must and nothing clean."""
     langs = {"en": "the of and ing", "fr": "été où çà né"}
