@@ -261,6 +261,34 @@ def test_secret_network_finds_what_patterns_miss():
     assert (p[y[held] == 1] >= net.threshold).mean() >= 0.98 and (p[y[held] == 0] >= net.threshold).mean() <= 0.02
 
 
+def test_secret_network_sees_whole_runs():
+    """A token anywhere in a long run is looked at, after a pattern's match too."""
+
+    class Marked:
+        threshold, value = 0.5, property(lambda self: self)
+
+        def probability(self, x, length):
+            return np.array([float(bytes(w[secrets.SIDE : secrets.SIDE + secrets.BODY]).count(b"Z9") >= 8) for w in x])
+
+    token = "Z9" * 8
+    texts = [f"{'x' * n}/{token}{'y' * k} {'x' * 70}1" for n in (0, 40, 47, 60, 200) for k in (0, 30, 100)] + ["ab" * 12 + "x" * 60 + token]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    out = next(secrets._scanner(Marked())(iter([batch]))).column("spans").to_pylist()
+    assert [[(s["start"], s["end"]) for s in spans if s["kind"] == "token"] for spans in out] == [[(0, len(t.split(" ")[0]))] for t in texts]
+    a, b, of = secrets.parts(np.array([0, 100, 300]), np.array([48, 149, 316]))
+    assert list(zip(a.tolist(), b.tolist(), of.tolist(), strict=True)) == [(0, 48, 0), (100, 148, 1), (101, 149, 1), (300, 316, 2)]
+
+
+def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
+    """Secrets that the network is unsure of pull the threshold below one half."""
+    seen = []
+    calibrate = secrets.Network.calibrate
+    monkeypatch.setattr(secrets.Network, "fit", lambda self, *a, **k: None)
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, x, n, y, recall, least: (calibrate(self, x, n, y, recall, least), seen.append(np.sort(self.probability(x, n)[y == 1]))))
+    net = secrets.train(docs(spark, _secrets()))
+    assert net.threshold == seen[0][int(len(seen[0]) * 0.01)] < 0.5
+
+
 def test_secret_gradients():
     """The network's analytic gradient is that of its loss."""
     r = np.random.default_rng(5)
