@@ -9,8 +9,10 @@ Only where it is unset and Spark runs in one process (tests) is a folder made.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 PARTITION_BYTES = 128 * 1024 * 1024
 #: Sizes from here on are the planner's word for not knowing.
 UNKNOWN = 1 << 60
+#: More partitions than this no driver plans, whatever a table's size.
+MOST = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -47,29 +51,47 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Delete every table that ``cut`` wrote in this process."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session has ended: nothing is left to ask
-            return
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a table; after the session's end what only Spark reaches is left and named in a warning."""
+    if spark.sparkContext._jsc is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    elif "://" not in path and not path.startswith("file:/"):
+        shutil.rmtree(path, ignore_errors=True)
+    elif path.startswith("file:/"):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    else:
+        warnings.warn(f"left behind: {path}", ResourceWarning, stacklevel=2)
+
+
+def made() -> int:
+    """How many tables ``cut`` has written so far: a mark for ``clear``."""
+    return len(_made)
+
+
+def clear(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables that ``cut`` wrote in this process after a mark, but for those that ``keep`` reads directly."""
+    kept = {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    left = [t for t in _made[since:] if t[1].removeprefix("file:").lstrip("/") in kept]
+    gone = [t for t in _made[since:] if t not in left]
+    _made[since:] = left
+    for spark, path in gone:
+        _delete(spark, path)
 
 
 def width(df: DataFrame, asked: int | None = None) -> int:
     """How many partitions to deal ``df`` to: as asked, else the session's setting, but at least one for each ``PARTITION_BYTES``.
 
-    The size is the planner's, from the files' lengths; nothing is read for it.
-    Where the planner does not know it, the setting holds.
+    The size is that of the files which ``df`` reads, each scan counted once, and
+    not the planner's guess of the result, which grows with every join. Nothing
+    is read for it. Sources of unknown size count for nothing.
     """
     if asked:
         return asked
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, n, -(-size // PARTITION_BYTES) if size < UNKNOWN else 0)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(1, n, min(MOST, -(-sum(s for s in sizes if s < UNKNOWN) // PARTITION_BYTES)))
 
 
 atexit.register(clear)

@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import WORD, corpus, docs, prose, sha
+from pyspark.sql import functions as F
 
 from strake.llm import exact, exchange, jaccard, suffix
 from strake.llm.components import components
@@ -100,6 +102,50 @@ def test_exact_dedup_of_one_hot_text(spark):
     assert kept.columns == docs(spark, rows).columns and kept.count() == 21
 
 
+def test_exact_dedup_of_copies_that_tie(spark):
+    """Copies of one text without an id spread over the partitions, and one of them stays."""
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.col("id").alias("other"))
+    marked = exact._marked(rows, False, 9)
+    per = [r["count"] for r in marked.groupBy("_part").count().collect()]
+    assert len(per) == 9 and max(per) < 2 * 100_000 / 9
+    out = exact.exact_dedup(rows, 9).groupBy("kept", "group_size", "keep_id").count().collect()
+    assert sorted(map(tuple, out)) == [(False, 100_000, None, 99_999), (True, 100_000, None, 1)]
+    assert exact.unique_rows(rows, 9).count() == 1
+
+
+def test_unique_rows_hold_no_texts(spark):
+    """A run of long texts is counted, not kept: the memory of a worker stays small."""
+    text = "x" * 100_000
+    part = pa.RecordBatch.from_arrays([pa.array([1] * 100), pa.array([text] * 100), pa.array(["s"] * 100), pa.array([text] * 100)], names=["_id", "_doc", "_sha", "_norm"])
+    before = pa.total_allocated_bytes()
+    most = 0
+
+    def batches():
+        nonlocal most
+        for _ in range(30):
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(range(100))) for c in part.columns], names=part.schema.names)
+            most = max(most, pa.total_allocated_bytes() - before)
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    monkey, exact.TaskContext = exact.TaskContext, type("C", (), {"get": staticmethod(lambda: Task)})
+    try:
+        out = list(exact._runs(["_doc", "_sha"], True)(batches()))
+    finally:
+        exact.TaskContext = monkey
+    assert [(b.num_rows, b.column("_size").to_pylist()) for b in out] == [(1, [3000])] and most < 100_000_000
+
+
+def test_runs_of_one_digest_are_told_apart(spark, monkeypatch):
+    """Texts that share a digest are compared in full, inside a partition and across partitions."""
+    monkeypatch.setattr(exact.F, "sha2", lambda c, n: F.lit("same"))
+    rows = [(i, "a" * 40 + "bcd"[i // 20]) for i in range(60)]
+    for n in (1, 7):
+        assert {r.group_size for r in exact.exact_dedup(docs(spark, rows), n).collect()} == {20}
+        assert exact.unique_rows(docs(spark, rows), n).count() == 3
+
+
 def test_exact_dedup_empty(spark):
     assert exact.exact_dedup(docs(spark, [])).count() == 0
 

@@ -239,3 +239,21 @@ def test_width_follows_the_data(spark, tmp_path, monkeypatch):
     assert n > 8
     wide = {(r.doc_id, bytes(r.kept)) for r in suffix.suffix_dedup(stored).collect()}
     assert wide == {(r.doc_id, bytes(r.kept)) for r in suffix.suffix_dedup(stored, partitions=3).collect()}
+
+
+def test_width_is_not_a_guess_of_joins(spark, tmp_path):
+    """However often a table is joined, its partitions follow the bytes that are read; tables can be cleared."""
+    from strake.llm import scratch
+
+    docs(spark, corpus(8, 60)).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    twice = table.join(table.select("doc_id", "lang").withColumnRenamed("lang", "l2"), "doc_id", "left").join(table.select("doc_id", "source").withColumnRenamed("source", "s2"), "doc_id", "left")
+    assert scratch.width(twice) == scratch.width(table) == 4
+    mark = scratch.made()
+    a, b = scratch.cut(table, "a"), scratch.cut(table, "b")
+    scratch.clear(mark, keep=b)
+    assert b.count() == table.count() and scratch.made() == mark + 1
+    with pytest.raises(Exception, match="(?i)path|file"):
+        a.count()
+    scratch.clear(mark)
+    assert scratch.made() == mark
