@@ -106,7 +106,7 @@ ORACLES = {
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
     "op10_mix_sources": r"""
-        WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
                           ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1 AS rk FROM d GROUP BY source),
         w AS (SELECT *, ([5, 2, 1])[(rk % 3 + 1)::INT]::HUGEINT AS w, (3 * s)::HUGEINT AS cap FROM s),
@@ -116,10 +116,20 @@ ORACLES = {
               FROM w WINDOW p AS (ORDER BY cap::DOUBLE / w::DOUBLE, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         f AS (SELECT min(k) AS k FROM o WHERE (t - c_before) * w <= cap * (ws - w_before)),
         l AS (SELECT (t - c_before)::DOUBLE / (ws - w_before)::DOUBLE AS level, o.k FROM o JOIN f USING (k)),
-        g AS (SELECT source, s, CASE WHEN t = 0 THEN 0.0 WHEN o.k < l.k THEN cap::DOUBLE ELSE l.level * w::DOUBLE END AS target FROM o, l)
-        SELECT doc_id, size, g.s AS source_size, g.target,
-               size * (floor(r)::BIGINT + CASE WHEN coin < r - floor(r) THEN 1 ELSE 0 END) AS taken
-        FROM (SELECT d.doc_id, d.size, d.coin, g.s, g.target, CASE WHEN g.s > 0 THEN g.target / g.s ELSE 0.0 END AS r
-              FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source) g
+        g AS (SELECT source, s, CASE WHEN t = 0 THEN 0.0 WHEN o.k < l.k THEN cap::DOUBLE ELSE l.level * w::DOUBLE END AS target FROM o, l),
+        f2 AS (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS r FROM g),
+        x AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS cls FROM d),
+        c AS (SELECT source, cls, count(*) AS n, sum(size)::DOUBLE AS words, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS i,
+                     ('0x' || substr(md5('17:' || concat_ws(':', coalesce(source, ''), cls::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM x GROUP BY source, cls),
+        k(source, i, cls, k, lack, rest) AS (
+            SELECT source, 0::BIGINT, NULL::BIGINT, 0::BIGINT, (r - floor(r)) * s::DOUBLE, s::DOUBLE FROM f2
+            UNION ALL
+            SELECT source, i, cls, k, lack - k::DOUBLE * (words / n::DOUBLE), rest - words
+            FROM (SELECT c.source, c.i, c.cls::BIGINT AS cls, c.n, c.words, k.lack, k.rest,
+                         least(floor((CASE WHEN rest > 0 THEN least(1.0, greatest(0.0, lack / rest)) ELSE 0.0 END) * c.n::DOUBLE + c.u)::BIGINT, c.n) AS k
+                  FROM k JOIN c ON c.source IS NOT DISTINCT FROM k.source AND c.i = k.i + 1)),
+        y AS (SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY coin) AS place FROM x)
+        SELECT doc_id, size, f2.s AS source_size, f2.target, size * (floor(r)::BIGINT + CASE WHEN place <= k.k THEN 1 ELSE 0 END) AS taken
+        FROM y JOIN k ON y.source IS NOT DISTINCT FROM k.source AND y.cls = k.cls JOIN f2 ON y.source IS NOT DISTINCT FROM f2.source
     """,
 }

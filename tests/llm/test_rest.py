@@ -104,6 +104,15 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r.t / r.g - 1) < 0.08 for r in out)
 
 
+def test_mix_with_long_documents_comes_near_its_targets(spark):
+    """A few documents with most of a source's words do not carry it off; a source's own copies follow its fraction."""
+    rows = [(i, prose(i, 2000 if i % 40 == 0 else 1 + i % 60), "en", [None, "b", "c", "d"][i % 4]) for i in range(400)]
+    for seed in (17, 18):
+        out = mixing.mix_counts(docs(spark, rows), seed=seed).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.sum("copies").alias("n"), F.first("source_size").alias("s")).collect()
+        assert all(abs(r.t / r.g - 1) < 0.01 for r in out)
+        assert all(abs(r.n / 100 - r.g / r.s) < 0.35 for r in out)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_counts(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [])).count() == 0
     assert [(r.target, r.taken) for r in mixing.mix_counts(docs(spark, [(1, None), (2, "")])).collect()] == [(0.0, 0)] * 2
