@@ -13,9 +13,9 @@ its target, so they are balanced: the size classes of a source (16 an octave) ar
 gone through from the longest down, and of each class the documents with the
 smallest coins are taken, as many as bring the words taken so far back on
 course. The words that are left over those that the target still lacks are a
-martingale, so a document's own probability stays the fraction, while a source
-misses its target by about one document of its shortest classes. The number of
-a class is rounded by a hash of its name. What a document needs to know is one
+martingale, so a document's own probability stays the fraction (but where a
+class weighs more than all shorter ones can make up for), while a source misses
+its target by about one document of its shortest classes. The number of a class is rounded by a hash of its name. What a document needs to know is one
 threshold for its class: the coin of the last one taken.
 """
 
