@@ -1,6 +1,10 @@
+import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from common import corpus, docs, prose, sha
 from pyspark.sql import functions as F
@@ -133,16 +137,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def test_main_text_of_a_page():
-    text = wrappers.main_text(PAGE.format(h="Title", a="Alpha\n  beta", b="Gamma &lt;x&gt; &#233;"), set(), set())
+    text = wrappers.main_text(PAGE.format(h="Title", a="Alpha\n  beta", b="Gamma &lt;x&gt; &#233;"))
     assert text == "Title\n\nAlpha beta & bold more text\n\nGamma <x> é\n\none\n\ntwo"
 
 
 def test_broken_pages():
-    assert wrappers.main_text("<article><p>a &am", set(), set()) == "a &am"
-    assert wrappers.main_text("<article><p>a <b>b</p><p>c</arti", set(), set()) == "a b\n\nc"
-    assert wrappers.main_text("<article><p>1 < 2 and <3</p><!-- x <p>y</p>", set(), set()) == "1 < 2 and <3"
-    assert wrappers.main_text('<article><p title="a>b">x<img alt="\'>y<script>z', set(), set()).startswith("x")
-    assert wrappers.main_text(None, set(), set()) == wrappers.main_text("", set(), set()) == ""
+    assert wrappers.main_text("<article><p>a &am") == "a &am"
+    assert wrappers.main_text("<article><p>a <b>b</p><p>c</arti") == "a b\n\nc"
+    assert wrappers.main_text("<article><p>1 < 2 and <3</p><!-- x <p>y</p>") == "1 < 2 and <3"
+    assert wrappers.main_text('<article><p title="a>b">x<img alt="\'>y<script>z').startswith("x")
+    assert wrappers.main_text(None) == wrappers.main_text("") == ""
 
 
 def test_wrappers_are_union_free():
@@ -200,13 +204,83 @@ def test_short_blocks_are_text(spark):
     assert _extracted(spark, [f"<article><p>{t}</p><div>In short</div></article>" for t in texts]) == [f"{t}\n\nIn short" for t in texts]
 
 
+def _plain_page(head, text, promo):
+    """A page whose elements and classes say nothing."""
+    links = "".join(f"<a href=/{k}>{prose(k, 2)}</a> " for k in range(8))
+    return f"<body><div class=q1>{links}</div><div class=w2><h2>{head}</h2><p>{text}</p><div class=e3><p>{text[::-1]}</p></div></div><div class=r4>{promo}</div><div class=t5>{prose(77, 9)}</div></body>"
+
+
+def test_the_wrapper_finds_the_text_where_names_say_nothing(spark):
+    """Menus, adverts and notices are told by the host's slots; on a page with little text the host decides, alone it would be the advert."""
+    texts = [(prose(i, 3), prose(i + 20, 60 if i else 2), prose(i + 40, 25)) for i in range(8)]
+    pages = [_plain_page(*t) for t in texts]
+    want = ["\n\n".join([h, t, t[::-1]]) for h, t, _ in texts]
+    assert _extracted(spark, pages) == want
+    alone = [wrappers.main_text(p) for p in pages]
+    assert alone[1:] == want[1:] and alone[0] != want[0]
+    # a page without its host's region is judged alone
+    assert _extracted(spark, [*pages, f"<div class=z9><p>{prose(5, 30)}</p></div>"])[-1] == prose(5, 30)
+
+
+def test_removing_the_wrapper_changes_the_text(spark):
+    """Each page repeats what its host says; without the host it would be text."""
+    pages = [f"<div class=k><p>{prose(900, 12)}</p><p>{prose(i, 20)}</p><p>{prose(901, 12)}</p></div>" for i in range(6)]
+    assert _extracted(spark, pages) == [prose(i, 20) for i in range(6)]
+    assert [wrappers.main_text(p) for p in pages] == ["\n\n".join([prose(900, 12), prose(i, 20), prose(901, 12)]) for i in range(6)]
+
+
+def test_letters_that_grow_when_lowered_move_nothing():
+    page = "<article><p>" + "İ" * 30 + "</p><SCRIPT>if (a</b) x()</SCRIPT ><p>one</p><style>y</ſtyle></style><p>two</p><script>z</ſcript></script><p>three</p>"
+    assert wrappers.main_text(page).split("\n\n") == ["İ" * 30, "one", "two", "three"]
+
+
+def _measured(work):
+    tracemalloc.start()
+    begin = time.process_time()
+    work()
+    spent, most = time.process_time() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return spent, most
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "<p>x" + "</div>" * 20_000, "<div>" * 20_000 + "</b><p>x" * 3000, "<div class=ad>" * 20_000 + "x", "<div class=a>" + "<ul><li>" * 8000 + "x"])
+def test_deep_pages_take_linear_time(page):
+    spent, most = _measured(lambda: wrappers.main_text(page))
+    assert spent < 8 and most < 100_000_000  # traced, several times as slow as it is
+    assert wrappers.main_text(page).split("\n\n")[-1] in ("x", "")
+
+
+def test_wide_pages_align_in_linear_memory():
+    """15,000 blocks of few keys in no order, on both pages."""
+    kinds = "p h2 h3 ul/li pre blockquote dl/dd table/tr/td".split()
+
+    def page(seed):
+        r = random.Random(seed)
+        return [[f"-/div.{r.randint(0, 60)}/{r.choice(kinds)}", str(i), False, False, None, False] for i in range(15_000)]
+
+    spent, most = _measured(lambda: wrappers.merge(page(1), page(2)))
+    assert spent < 6 and most < 100_000_000
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 40])
+def test_alignment_is_a_common_subsequence(monkeypatch, cells):
+    monkeypatch.setattr(wrappers, "CELLS", cells)
+    r = random.Random(5)
+    for n, m, k in [(0, 5, 3), (30, 40, 4), (60, 50, 200), (50, 50, 12), (1, 1, 1)] * 4:
+        x, y = np.array([r.randint(0, k) for _ in range(n)], np.int64), np.array([r.randint(0, k) for _ in range(m)], np.int64)
+        pairs = wrappers.aligned(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
+        best = int(wrappers._last_row(x, y)[-1])
+        assert len(pairs) <= best and (len(pairs) == best or (cells == 40 and k >= 12))
+
+
 @pytest.mark.parametrize("name", ["no-sidebar", "with-sidebar", "has-comments", "sticky-header", "search-results", "ad-free", "sidebar", "noSidebar wrap"])
 def test_names_around_the_text_exclude_nothing(name):
     for attr in ("class", "id"):
-        assert wrappers.main_text(f"<div {attr}='{name}'><article><p>Alpha</p><div class='cookie-notice'>We use</div><div class='box ad'>Buy</div></article></div>", set(), set()) == "Alpha"
-        assert wrappers.main_text(f"<div {attr}='{name}'><p>{prose(1, 20)}</p></div><div class='ad'>Buy</div>", set(), set()) == prose(1, 20)
+        assert wrappers.main_text(f"<div {attr}='{name}'><article><p>Alpha</p><div class='cookie-notice'>We use</div><div class='box ad'>Buy</div></article></div>") == "Alpha"
+        assert wrappers.main_text(f"<div {attr}='{name}'><p>{prose(1, 20)}</p></div><div class='ad'>Buy</div>") == prose(1, 20)
     beside = "<article><p>Alpha</p></article><div id='comments'><article><p>A comment that is longer than all of the rest</p></article></div>"
-    assert wrappers.main_text(beside, set(), set()) == "Alpha"
+    assert wrappers.main_text(beside) == "Alpha"
 
 
 def test_pipeline_stages_apply_in_turn(spark, tmp_path):
