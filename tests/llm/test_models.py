@@ -255,12 +255,60 @@ def test_secret_network_finds_what_patterns_miss():
     net = secrets.Network()
     held = np.arange(len(y)) % 4 < 2
     net.fit(x[~held], length[~held], y[~held])
-    net.calibrate(x[held], length[held], y[held], 0.99, 0.5)
+    net.calibrate(x[held], length[held], y[held], np.ones(held.sum()), 0.99, 0.5)
     p = net.probability(x[held], length[held])
     assert 0 < y[held].mean() < 1
     assert (p[y[held] == 1] >= net.threshold).mean() >= 0.98 and (p[y[held] == 0] >= net.threshold).mean() <= 0.02
 
 
+def _hidden(seed, n=60):
+    """Texts with a secret that no pattern meets, or with a run that is none, and whether it is one."""
+    r = np.random.default_rng(seed)
+    digits = {"upper": "0123456789ABCDEF", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+    out = []
+    for i in range(n):
+        for kind, of in digits.items():
+            body = "".join(r.choice(list(of), int(r.integers(28, 44))))
+            out.append((f"{prose(i, 8)} {r.choice(['pwd=', 'my key is ', 'auth: ', ''])}{body} {prose(i + 9, 6)}", body, True, kind))
+        card, day, call = "".join(map(str, r.integers(0, 10, 16))), f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}", f"555-{r.integers(1000, 9999)}"
+        for body in (card, day, call, prose(i + 300, 6).replace(" ", "-"), prose(i + 400, 5).replace(" ", "/")):
+            out.append((f"{prose(i + 600, 9)} {body} {prose(i + 700, 7)}", body, False, ""))
+    return out
+
+
+def test_secret_scan_adds_secrets_whose_pattern_is_hidden(spark):
+    """The patterns' findings teach the network; what no pattern meets is found, and cards, dates, calls and words are left alone."""
+    r = np.random.default_rng(7)
+    known = [f'{prose(i, 12)} token = "{"".join(r.choice(list("0123456789abcdef"), 40))}" {prose(i + 1, 9)}' for i in range(240)]
+    hidden, decoys = _hidden(8, 20), _hidden(9, 120)
+    rows = [*enumerate([*known, *(t for t, _, is_, _ in decoys if not is_)]), *((10_000 + i, t) for i, (t, *_) in enumerate(hidden))]
+    found = {r.doc_id: [t[s.start : s.end] for s in r.spans if s.kind == "token"] for t, r in ((dict(rows)[r.doc_id], r) for r in secrets.scan(docs(spark, rows)).collect())}
+    told = [(any(body in s for s in found[10_000 + i]), is_, kind) for i, (_, body, is_, kind) in enumerate(hidden)]
+    for kind in ("upper", "base64", "base62"):
+        assert np.mean([f for f, _, k in told if k == kind]) >= 0.9, kind
+    assert np.mean([f for f, is_, _ in told if not is_]) <= 0.02
+    assert not any(found[i] for i in range(240))
+
+
+def test_planted_secrets_are_met_by_no_pattern():
+    rows = _secrets()[:60]
+    got = next(secrets._findings(iter([pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])])))
+    y = got.column("label").to_numpy(zero_copy_only=False)
+    x, n = np.frombuffer(b"".join(got.column("bytes").to_pylist()), np.uint8).reshape(-1, secrets.WINDOW)[y], got.column("length").to_numpy()[y]
+    h, others = got.column("h").to_numpy()[y], np.full((3, secrets.WINDOW), 32, np.uint8)
+    more, size = secrets.planted(x, n, h, others)
+    assert len(more) == secrets.PLANTED * len(x) and (more == secrets.planted(x, n, h, others)[0]).all()
+    texts = [bytes(w[: secrets.SIDE + s]).decode("latin-1") for w, s in zip(more, size, strict=True)]
+    assert not any(ASSIGN.search(t) for t in texts) and np.mean([bool(base(t)) for t in texts]) < 0.02
+
+
+def test_candidates_are_all_but_plain_words():
+    text = "Wordlike words wordsandwords self-evident 2024-01-02 abcDefgh a_b_c_d_e short1 aaaaaaaaaaaaaaaaaaaa Https://x.y/abcdefgh CAPITALS xCAPITALS"
+    buf, s, e = K.joined([text, "Abcdefgh", "abcdefgH"])
+    a, b, row = secrets.candidates(buf, s)
+    assert [buf[x:y].tobytes().decode() for x, y in zip(a, b, strict=True)] == ["2024-01-02", "abcDefgh", "a_b_c_d_e", "aaaaaaaaaaaaaaaaaaaa", "y/abcdefgh", "xCAPITALS", "abcdefgH"]
+
+
 def test_secret_network_sees_whole_runs():
     """A token anywhere in a long run is looked at, after a pattern's match too."""
 
@@ -284,7 +332,7 @@ def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
     seen = []
     calibrate = secrets.Network.calibrate
     monkeypatch.setattr(secrets.Network, "fit", lambda self, *a, **k: None)
-    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, x, n, y, recall, least: (calibrate(self, x, n, y, recall, least), seen.append(np.sort(self.probability(x, n)[y == 1]))))
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, x, n, y, w, recall, least: (calibrate(self, x, n, y, w, recall, least), seen.append(np.sort(self.probability(x, n)[y == 1]))))
     net = secrets.train(docs(spark, _secrets()))
     assert net.threshold == seen[0][int(len(seen[0]) * 0.01)] < 0.5
 
