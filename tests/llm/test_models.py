@@ -334,7 +334,7 @@ def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
     monkeypatch.setattr(secrets.Network, "fit", lambda self, *a, **k: None)
     monkeypatch.setattr(secrets.Network, "calibrate", lambda self, x, n, y, w, recall, least: (calibrate(self, x, n, y, w, recall, least), seen.append(np.sort(self.probability(x, n)[y == 1]))))
     net = secrets.train(docs(spark, _secrets()))
-    assert net.threshold == seen[0][int(len(seen[0]) * 0.01)] < 0.5
+    assert net.threshold == seen[0][int(len(seen[0]) * (1 - secrets.RECALL))] < 0.5
 
 
 def test_secret_gradients():
