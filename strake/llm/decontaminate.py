@@ -9,7 +9,9 @@ length bound (nor end after it), and is verified word by word.
 
 The windows are the stated query set. They are sent to the executors in chunks
 of counted size, one after the other over the same rows, so a larger benchmark
-takes more passes and not more memory. No document is shuffled.
+takes more passes and not more memory. Items of one text are one entry, and a
+running sum of sizes cuts the chunks, so no chunk has over twice its bytes unless
+one item alone has. No document is shuffled.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .scratch import cut
 
 #: Bytes of benchmark text that are sent to the executors at once (their index has some ten times as much).
 CHUNK_BYTES = 8_000_000
@@ -31,14 +35,14 @@ _FILTER = 1 << 20
 
 
 class Index:
-    """Windows of some items, by prefix token."""
+    """Windows of some texts, by prefix token; items: (ids, text)."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
+    def __init__(self, items: list[tuple[list, str | None]], window: int):
         buf, starts, _ = K.joined([t for _, t in items])
         low = K.LOWER[buf]
         ws, we, row = K.words(low, starts, K.ALNUM)
         self.hashes = K.span_hashes(low, ws, we)
-        self.names = [str(i) for i, _ in items]
+        self.names = [[None if i is None else str(i) for i in ids] for ids, _ in items]
         self.vocabulary = np.unique(self.hashes)
         self.window = window
         n = K.counts_by_row(row, len(items))
@@ -163,8 +167,9 @@ def _finder(index, names: list[str], drop_text: bool):
                     spans[r] = _merge([*zip(old[::2], old[1::2], strict=True), *zip(lo.tolist(), hi.tolist(), strict=True)])
                     own = set(items[r])
                     for w in np.unique(window[a:b]):
-                        own.update(ix.names[k] for k in ix.owner_items[ix.owner_at[w] : ix.owner_at[w + 1]])
-                    items[r] = sorted(own)
+                        for k in ix.owner_items[ix.owner_at[w] : ix.owner_at[w + 1]]:
+                            own.update(ix.names[k])
+                    items[r] = sorted(own, key=lambda name: (name is None, name or ""))
             doc = batch.column("doc")
             if drop_text:
                 kept = [f.name for f in doc.type if f.name != "text"]
@@ -174,30 +179,44 @@ def _finder(index, names: list[str], drop_text: bool):
     return find
 
 
+def _chunks(bench: DataFrame, chunk_bytes: int) -> DataFrame:
+    """ids, text, part, sub: each text once with its items' ids, in chunks.
+
+    Texts are dealt by their hash to as many parts as their bytes ask for; in a
+    part, a running sum of sizes begins a new chunk whenever it passes
+    ``chunk_bytes``. Only hashes and sizes go through the window.
+    """
+    texts = bench.filter("text is not null").groupBy("text").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("id"))).alias("found"))
+    texts = cut(texts.select(F.col("found.id").alias("ids"), "text", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("text").alias("h")), "items")
+    total = texts.agg(F.sum("bytes")).first()[0] or 0
+    part = F.pmod("h", F.lit(max(1, math.ceil(total / chunk_bytes)))).alias("part")
+    before = F.sum("bytes").over(W.partitionBy("part").orderBy("h").rowsBetween(W.unboundedPreceding, -1))
+    placed = texts.select("h", part, "bytes").withColumn("sub", F.floor(F.coalesce(before, F.lit(0)) / F.lit(chunk_bytes)))
+    return cut(texts.join(placed.select("h", "part", "sub").distinct(), "h").select("ids", "text", "part", "sub"), "chunks")
+
+
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, keep_text: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc (a struct of all columns of ``docs``, the text only if asked), n_words, spans, items for every row.
 
     ``spans`` holds the merged hit words as [start, end, start, end, ...], in
     words; ``items`` the ids of items with a window in the text, as strings, in
     order. A null or empty text has no words, nor has a null item; a null item id
-    is named "None". Rows that repeat an id count each for itself. With an empty
+    is a null among them, the last. Rows that repeat an id count each for itself. With an empty
     benchmark nothing is hit; empty documents give no rows.
     """
     spark = docs.sparkSession
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
-    named = bench.select("item_id", "text").withColumn("chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
+    chunked = _chunks(bench, chunk_bytes)
+    chunks = [(r.part, r.sub) for r in chunked.select("part", "sub").distinct().orderBy("part", "sub").collect()] or [None]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k in range(chunks):
-        # a chunk has chunk_bytes of text on the mean, by the count above
-        index = Index([tuple(r) for r in named.filter(F.col("chunk") == k).select("item_id", "text").collect()], window)
+    for k, chunk in enumerate(chunks):
+        index = Index([(r.ids, r.text) for r in chunked.filter((F.col("part") == chunk[0]) & (F.col("sub") == chunk[1])).select("ids", "text").collect()] if chunk else [], window)
         vocabulary = spark.sparkContext.broadcast(index.vocabulary)
         counts = np.zeros(max(1, len(index.vocabulary)), np.int64)
         if len(index.vocabulary):
             for r in docs.select("text").mapInArrow(_counter(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
                 counts[r.word] = r.n
         index.order_by_rarity(counts)
-        drop = k == chunks - 1 and not keep_text
+        drop = k == len(chunks) - 1 and not keep_text
         schema = rows.schema
         if drop:
             schema = T.StructType([T.StructField("doc", T.StructType([f for f in schema["doc"].dataType if f.name != "text"])), *schema.fields[1:]])

@@ -5,7 +5,11 @@ length hashed to 2**16 places. Document frequencies are counted over all
 training documents. The regression is fitted by follow-the-regularised-leader
 with L1 and L2 penalties on a bounded sample, ``rows_per_language`` documents of
 each language, spread by a hash of the id; one in five of them is left out of
-the fit and sets the temperature that calibrates the probabilities.
+the fit and sets the temperature that calibrates the probabilities. The
+``languages`` most frequent values of lang are learnt (of equally frequent ones
+the first by code point), so a column of junk makes no model that no machine
+holds: driver and executors hold at most 0.8 MB a language, and the sample's
+features.
 
 A document's score needs only the sum of its n-grams' weights, so prediction is
 three look-ups a character and no shuffle.
@@ -27,6 +31,9 @@ PLACES = 1 << 16
 ORDERS = 3
 FEATURES = PLACES * ORDERS
 ROWS_PER_LANGUAGE = 1000
+LANGUAGES = 256
+#: Rows of the sample in all: with many languages, each has fewer.
+ROWS = 20_000
 UNKNOWN = "und"
 _STEP = K.mix64(np.arange(31, 31 + ORDERS, dtype=np.uint64)) | np.uint64(1)
 _LOCAL = 1 << 17
@@ -144,12 +151,13 @@ class Model:
         return softmax(out / np.maximum(length, 1)[:, None] + self.bias)
 
 
-def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = 3, seed: int = 5) -> Model | None:
+def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES, epochs: int = 3, seed: int = 5) -> Model | None:
     """A model of a table (doc_id, text, lang); None if it has no rows."""
-    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not per:
         return None
     langs = sorted(per)
+    rows_per_language = min(rows_per_language, max(1, ROWS // len(langs)))
     df = np.zeros(FEATURES)
     total = 0
     for f, n in zip(*(c.to_numpy() for c in rows.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow().columns), strict=True):
@@ -160,7 +168,7 @@ def train(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, epochs: i
     idf = np.log((1 + total) / (1 + df)) + 1
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, rows_per_language / per[lang])))])
     h = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = rows.withColumn("h", h).filter(F.col("h") < share[F.col("lang")])
+    picked = rows.withColumn("h", h).filter(F.col("h") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
     sample = picked.select("text", "lang", F.xxhash64("doc_id", F.lit(seed + 1)).alias("h")).mapInArrow(_sparse, "lang string, h long, f array<int>, n array<int>").toArrow()
     data = []
     for batch in sample.to_batches():
@@ -203,27 +211,40 @@ def _predictor(model, names: list[str], drop_text: bool):
     return predict
 
 
-def identify(docs: DataFrame, training: Column, keep_text: bool = False, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, training: Column, keep_text: bool = False, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
     """doc (a struct of all columns of ``docs``, the text only if asked), lang_pred, score for every row.
 
     ``training``: a condition on doc_id; only text and lang of rows that meet it
     and have both are learnt, and only the text is used to predict. A null text,
     or one without a letter, is "und" with score 0, as is everything if nothing
-    can be learnt. Rows that repeat an id are each judged by their own text.
+    can be learnt. Rows that repeat an id are each judged by their own text. Of
+    two languages that are equally likely the first by code point is told.
     """
+    return _identified(docs, training, keep_text, rows_per_language, languages)[0]
+
+
+def _identified(docs: DataFrame, training: Column, keep_text: bool, rows_per_language: int, languages: int) -> tuple[DataFrame, int]:
+    """What ``identify`` returns, and how many languages were learnt."""
     spark = docs.sparkSession
     rows = docs.filter(F.coalesce(training, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = train(rows, rows_per_language)
+    model = train(rows, rows_per_language, languages)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     doc = packed.schema["doc"].dataType
     schema = T.StructType([T.StructField("doc", doc if keep_text else T.StructType([f for f in doc if f.name != "text"])), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return packed.mapInArrow(_predictor(spark.sparkContext.broadcast(model) if model else None, schema.names, not keep_text), schema)
+    told = packed.mapInArrow(_predictor(spark.sparkContext.broadcast(model) if model else None, schema.names, not keep_text), schema)
+    return told, len(model.langs) if model else 0
 
 
-def accepted_rows(docs: DataFrame, training: Column, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is told with probability ``least`` or more, with all their columns.
+def accepted_rows(docs: DataFrame, training: Column, least: float = 1 / 15) -> DataFrame:
+    """The rows of ``docs`` whose language is told, with all their columns.
 
-    Clean texts of a few words are told with little certainty, so the default
-    rejects only what is hardly better than a guess.
+    A row stays if its probability is at least ``least`` of the way from a guess
+    among the learnt languages to certainty: 0.3 of four. Clean texts of a few
+    words are told with little certainty, so the default rejects only what is
+    hardly better than a guess. Null and empty texts and those without a letter
+    are rejected, as are all rows if nothing can be learnt; repeated rows are each
+    judged for themselves.
     """
-    return identify(docs, training, keep_text=True).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    found, languages = _identified(docs, training, True, ROWS_PER_LANGUAGE, LANGUAGES)
+    guess = 1 / languages if languages > 1 else 0.0
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= guess + least * (1 - guess))).select("doc.*")

@@ -137,6 +137,24 @@ def test_language_id_learns_from_text_alone(spark):
     assert {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, other), fold(3) != 1).select("doc.doc_id", "lang_pred", "score").collect()} == base
 
 
+def test_language_id_bounds_languages_and_takes_long_texts(spark):
+    """Of very many values of lang the most frequent are learnt; a very long text is judged whole."""
+    rows = _languages(120)
+    junk = [(5000 + i, prose(i, 5), f"junk{i:04d}") for i in range(400)]
+    long = (9000, " ".join(t for _, t, lang in rows if lang == "bb") * 300 + " ba be", None)
+    model = langid.train(docs(spark, [*rows, *junk]).select("doc_id", "text", "lang"), languages=3)
+    assert model.langs == ["aa", "bb", "cc"] and model.table.shape == (langid.FEATURES, 3)
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, [*rows, *junk, long]), fold(3) != 1, languages=3).select("doc.doc_id", "lang_pred").collect()}
+    assert out[9000] == "bb" and all(out[i] == lang for i, _, lang in rows)
+
+
+def test_language_ties_go_to_the_first():
+    model = langid.Model(["aa", "bb"], np.zeros((langid.FEATURES, 2), np.float32), np.zeros(2))
+    batch = pa.RecordBatch.from_arrays([pa.array([{"text": "abc"}]), pa.array([True])], names=["doc", "letter"])
+    out = next(langid._predictor(type("B", (), {"value": model}), ["doc", "lang_pred", "score"], False)(iter([batch])))
+    assert out.column("lang_pred").to_pylist() == ["aa"] and out.column("score").to_pylist() == [0.5]
+
+
 def test_language_id_without_labels(spark):
     rows = [(i, t, None) for i, t, _ in _languages(9)]
     assert {(r.lang_pred, r.score) for r in langid.identify(docs(spark, rows), fold(3) != 1).collect()} == {("und", 0.0)}

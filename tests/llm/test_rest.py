@@ -30,8 +30,8 @@ def hits(text, items):
             for p in range(len(w) - n + 1):
                 if w[p : p + n] == v[k : k + n]:
                     hit.update(range(p, p + n))
-                    names.add(str(i))
-    return len(w), len(hit), sorted(names)
+                    names.add(None if i is None else str(i))
+    return len(w), len(hit), sorted(names, key=lambda x: (x is None, x or ""))
 
 
 @pytest.mark.parametrize("chunk", [8_000_000, 300])
@@ -60,6 +60,17 @@ def test_contamination_is_brute_force(spark, chunk):
     assert kept.columns == docs(spark, rows).columns and kept.count() == sum(not r.spans for r in out)
 
 
+def test_items_of_one_text_are_one_entry(spark):
+    """However many items share a text, no chunk grows; each of their ids is reported, a null one too."""
+    same = [(i, prose(1, 40)) for i in range(300)] + [(None, prose(1, 40))] + [(1000 + i, prose(i + 2, 40)) for i in range(40)]
+    bench = spark.createDataFrame(same, "item_id long, text string")
+    size = len(prose(1, 40))
+    per = decontaminate._chunks(bench, 3 * size).groupBy("part", "sub").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(per) > 5 and max(r.n for r in per) <= 5 * size
+    (row,) = decontaminate.contamination(docs(spark, [(1, prose(1, 40))]), bench, chunk_bytes=3 * size).collect()
+    assert row["items"] == [*sorted(str(i) for i in range(300)), None] and row.spans == [0, 40]
+
+
 def test_contamination_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.spans for r in decontaminate.contamination(docs(spark, [(1, "a b")]), none).collect()] == [[]]
