@@ -254,10 +254,10 @@ def _block_words(text: pa.Array, trains: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, counts
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin: buckets are equal ranges of the sorted hashes."""
+def _sizes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """How many of the sorted hashes each bucket has; buckets are equal ranges."""
     step = 2**64 // buckets
-    return np.r_[np.searchsorted(keys, np.array([i * step for i in range(buckets)], np.uint64)), len(keys)]
+    return np.diff(np.r_[np.searchsorted(keys, np.array([i * step for i in range(buckets)], np.uint64)), len(keys)])
 
 
 def _block_grams(text: pa.Array, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,15 +281,15 @@ def _places(text: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarr
 
 
 def _deal(gram: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams' places by bucket, in order within each, and where each bucket's begin."""
+    """The grams' places by bucket, in order within each, and how many each bucket has."""
     three = _tail(gram >> 8, 3)
     by = np.where(_within(hot, three)[0], _tail(gram >> 8, 4) | 1 << 40, three)
     bucket = (K.mix64(by.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, np.bincount(bucket, minlength=buckets)
 
 
-def score(docs: DataFrame, training, partitions: int | None = None, contexts: int | None = None) -> DataFrame:
+def score(docs: DataFrame, training, partitions: int | None = None, contexts: int | None = None, direct: int = X.DIRECT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     ``training``: a condition on doc_id; documents that meet it teach both
@@ -303,47 +303,45 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
     """
     spark = docs.sparkSession
     trains = F.coalesce(training, F.lit(False))
-    blocks, names = X.in_blocks(docs, partitions)
-    n = len(names)
+    blocks, route = X.in_blocks(docs, partitions, direct)
+    n = route.n
     learnt = train(docs.filter(trains).select(F.coalesce("text", F.lit("")).alias("text")), n)
     hot, counts = learnt[2], spark.sparkContext.broadcast(learnt)
     blocks = blocks.withColumn("trains", trains)
 
-    def asks(blk: int, table: pa.Table) -> dict[int, bytes]:
+    def asks(table: pa.Table) -> pa.Table:
         text, trained = X.one(table, "text"), table.column("trains").to_numpy()
         keys, own = _block_words(text, trained)
-        at = _split(keys, n)
+        words = _sizes(keys, n)
         gram, m = _block_grams(text, trained)
-        order, cut = _deal(gram, hot, n)
-        gram, m = gram[order], m[order]
-        return {names[b]: X.pack(keys[at[b] : at[b + 1]], own[at[b] : at[b + 1]], gram[cut[b] : cut[b + 1]], m[cut[b] : cut[b + 1]]) for b in range(n)}
-
-    def answers(blks: list[int], payloads: list[bytes]) -> list[bytes]:
-        asked = [X.unpack(p) for p in payloads]
-        keys, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, back, np.concatenate([a[1] for a in asked]))
-        ends = np.cumsum([len(a[0]) for a in asked])
-        whole = np.array([sums.sum(), (sums > 0).sum()], np.int64)
-        gram, m = _summed([a[2] for a in asked], [a[3] for a in asked])
+        order, sizes = _deal(gram, hot, n)
+        # a bucket that is asked nothing says how many words it has all the same
+        return route.asks(table.column("blk")[0].as_py(), [(keys, words), (own, words), (gram[order], sizes), (m[order], sizes)], every=True)
+
+    def answers(columns: list[X.Column]) -> list[X.Column]:
+        (keys, words), (own, _), (grams, sizes), (counted, _) = columns
+        found, back = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(found), np.int64)
+        np.add.at(sums, back, own)
+        whole = np.tile(np.array([sums.sum(), (sums > 0).sum()], np.int64), len(words))
+        gram, m = _summed([grams], [counted])
         logs = _loaded(counts).logs(gram, m, contexts)
-        return [X.pack(sums[part], whole, logs[np.searchsorted(gram, a[2])]) for part, a in zip(np.split(back, ends[:-1]), asked, strict=True)]
+        return [(sums[back], words), (whole, np.full(len(words), 2)), (logs[np.searchsorted(gram, grams)], sizes)]
 
-    replies = X.answer(X.ask(blocks, asks), answers)
+    replies = route.answer(blocks.groupBy("blk").applyInArrow(asks, X.ROWS), answers)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         text, trained = X.one(left, "text"), left.column("trains").to_numpy()
         keys, _ = _block_words(text, trained)
-        got = X.answers_of(right)
-        known = np.concatenate([got[b][0] for b in names])
-        total, distinct = (sum(int(got[b][1][i]) for b in names) for i in (0, 1))
+        (known, _), (whole, _), (dealt_logs, _) = X.heard(right)
+        total, distinct = whole.reshape(-1, 2).sum(axis=0).tolist()
         rows = len(trained)
         n_tokens, n_known, base, ppm = np.ones(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows), np.zeros(rows)
         logs = np.log10(known + 0.5)
         gram, places = _places(text)
         order, _ = _deal(gram, hot, n)
         logs_of = np.empty(len(gram))
-        logs_of[order] = np.concatenate([got[b][2] for b in names])
+        logs_of[order] = dealt_logs
         end = int(np.searchsorted(keys, _END_WORD))
         for (i, j, buf, starts, ends), (own, back) in zip(K.pieces(text), places, strict=True):
             h, row = _tokens(buf, starts)
@@ -357,4 +355,4 @@ def score(docs: DataFrame, training, partitions: int | None = None, contexts: in
         return pa.table({"doc_id": left.column("doc_id"), "held_out": pa.array(~trained), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(rows, total), "base_score": base, "score": ppm})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(finish, schema)
+    return blocks.groupBy("blk").cogroup(replies.groupBy("key")).applyInArrow(finish, schema)

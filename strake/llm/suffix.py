@@ -18,8 +18,8 @@ smallest hash inside it. A run of windows has one minimiser, so
    group goes back to the blocks that sent it;
 3. blocks mark the windows whose smallest id is less than the document's.
 
-A string that a third of all documents share is sent once a block. The exact
-order by bytes decides; the hashes only choose what is sent where.
+A string that a third of all documents share is sent once a block. Windows are
+compared by their bytes; runs of windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -91,24 +91,19 @@ def _block_anchors(text: pa.Array, threshold: int, gram: int) -> tuple[np.ndarra
     return h[first], row[first] != row[last]
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's keys begin; buckets are equal ranges of the 48-bit hashes."""
-    return np.r_[np.searchsorted(keys, np.array([i * (1 << 48) // buckets for i in range(buckets)], np.uint64)), len(keys)]
+def _sizes(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """How many of the sorted keys each bucket has; buckets are equal ranges of the 48-bit hashes."""
+    return np.diff(np.r_[np.searchsorted(keys, np.array([i * (1 << 48) // buckets for i in range(buckets)], np.uint64)), len(keys)])
 
 
-def _wide(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (keys >> np.uint64(16)).astype(np.uint32), (keys & np.uint64(0xFFFF)).astype(np.uint16)
-
-
-def shared_anchors(blks: list[int], payloads: list[bytes]) -> list[bytes]:
-    """A bucket's answers: a bit for each minimiser asked, whether several documents have it."""
-    asked = [X.unpack(p) for p in payloads]
-    keys = [hi.astype(np.uint64) << np.uint64(16) | lo for hi, lo, _ in asked]
-    ends = np.cumsum([len(k) for k in keys])
-    unique, back, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+def shared_anchors(columns: list[X.Column]) -> list[X.Column]:
+    """A bucket's answers: for each minimiser asked, whether several documents have it."""
+    (hi, sizes), (lo, _), (several, _) = columns
+    keys = hi.astype(np.uint64) << np.uint64(16) | lo
+    unique, back, n = np.unique(keys, return_inverse=True, return_counts=True)
     many = n > 1
-    many[back[np.concatenate([np.unpackbits(m, count=len(k)).astype(bool) for k, (_, _, m) in zip(keys, asked, strict=True)])]] = True
-    return [X.pack(np.packbits(part)) for part in np.split(many[back], ends[:-1])]
+    many[back[several > 0]] = True
+    return [(many[back].astype(np.uint8), sizes)]
 
 
 #: Suffixes that the passes after the first take at once.
@@ -188,28 +183,21 @@ def first_owners(data: np.ndarray, at: np.ndarray, windows: np.ndarray, owner: n
 
 
 def _owners(threshold: int):
-    def answers(blks: list[int], payloads: list[bytes]) -> list[bytes]:
+    def answers(columns: list[X.Column]) -> list[X.Column]:
         """For each run asked, its hash and the smallest id of each of its windows."""
-        asked = [X.unpack(p) for p in payloads]
-        data = np.concatenate([a[0] for a in asked])
-        windows = np.concatenate([a[1] for a in asked]).astype(np.int64)
-        owner = np.concatenate([a[2] for a in asked])
+        (data, _), (windows, sizes), (owner, _) = columns
+        windows = windows.astype(np.int64)
         length = windows + threshold - 1
         at = np.cumsum(length) - length
-        if not len(at):
-            return [X.pack(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64)) for _ in asked]
         h = _run_hashes(data, at, at + length)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         least = np.full(len(first), _NO_ID)
         np.minimum.at(least, back, owner)
         found = first_owners(data, at[first], windows[first], least, threshold)
         begin = np.cumsum(windows[first]) - windows[first]
-        out, ends = [], np.cumsum([len(a[1]) for a in asked])
-        for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True):
-            n = windows[a:b]
-            which = np.repeat(begin[back[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(X.pack(h[a:b], n.astype(np.uint8), found[which]))
-        return out
+        ends = np.r_[0, np.cumsum(sizes)]
+        upto = np.r_[0, np.cumsum(windows)]
+        return [(h, sizes), (windows.astype(np.uint16), sizes), (found[X.ragged(begin[back], windows)], upto[ends[1:]] - upto[ends[:-1]])]
 
     return answers
 
@@ -225,7 +213,7 @@ def _run_hashes(buf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, partitions: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, partitions: int | None = None, direct: int = X.DIRECT) -> DataFrame:
     """doc_id, n_bytes, spans, kept for every row of ``docs``.
 
     Every byte is removed that is covered by a string of ``threshold`` bytes that
@@ -236,31 +224,26 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
     rows lose what others have and take nothing from anyone; rows that repeat an
     id take nothing from each other. An empty table gives no rows.
     """
-    blocks, names = X.in_blocks(docs, partitions)
-    n = len(names)
+    if not gram <= threshold <= 1 << 15:
+        raise ValueError("a threshold is at least the minimisers' length, and at most 32,768 bytes")
+    blocks, route = X.in_blocks(docs, partitions, direct)
+    n = route.n
 
-    def ask_anchors(blk: int, table: pa.Table) -> dict[int, bytes]:
+    def ask_anchors(table: pa.Table) -> pa.Table:
         keys, many = _block_anchors(X.one(table, "text"), threshold, gram)
-        at = _split(keys, n)
-        return {names[b]: X.pack(*_wide(keys[at[b] : at[b + 1]]), np.packbits(many[at[b] : at[b + 1]])) for b in range(n) if at[b] < at[b + 1]}
+        sizes = _sizes(keys, n)
+        return route.asks(table.column("blk")[0].as_py(), [((keys >> np.uint64(16)).astype(np.uint32), sizes), ((keys & np.uint64(0xFFFF)).astype(np.uint16), sizes), (many.astype(np.uint8), sizes)])
 
-    shared = X.answer(X.ask(blocks, ask_anchors), shared_anchors)
+    shared = route.answer(blocks.groupBy("blk").applyInArrow(ask_anchors, X.ROWS), shared_anchors)
 
     def ask_runs(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return X.rows_of([], ("bucket", "blk"))
+        got = X.heard(right)
+        if not left.num_rows or got is None:
+            return X._table([])
         text = X.one(left, "text")
         ids = left.column("doc_id").fill_null(_NO_ID).to_numpy()
         keys, _ = _block_anchors(text, threshold, gram)
-        at = _split(keys, n)
-        got = X.answers_of(right)
-        many = np.zeros(len(keys), bool)
-        for b in range(n):
-            if names[b] not in got:
-                continue
-            (bits,) = got[names[b]]
-            many[at[b] : at[b + 1]] = np.unpackbits(bits, count=int(at[b + 1] - at[b])).astype(bool)
-        keys = keys[many]
+        keys = keys[got[0][0] > 0]  # every bucket that is asked answers, in the keys' order
         parts: list[tuple] = []
         for i, _, buf, _, _, h, row, first, size in _runs(text, threshold, gram):
             if not len(keys) or not len(h):
@@ -275,11 +258,9 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
             new = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
             pick = order[new]
             least = np.minimum.reduceat(ids[i + row][order], new)
-            length = size[pick] + threshold - 1
-            which = np.repeat(first[pick] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            parts.append((h[pick], own[pick], size[pick], least, buf[which]))
+            parts.append((h[pick], own[pick], size[pick], least, buf[X.ragged(first[pick], size[pick] + threshold - 1)]))
         if not parts:
-            return X.rows_of([], ("bucket", "blk"))
+            return X._table([])
         h, own, size, least = (np.concatenate([p[k] for p in parts]) for k in range(4))
         data = np.concatenate([p[4] for p in parts])
         length = size + threshold - 1
@@ -289,25 +270,19 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
         np.minimum.at(best, back, least)
         order = np.argsort(h[first], kind="stable")
         first, best = first[order], best[order]
-        cut = _split(h[first], n)
-        blk, rows = left.column("blk")[0].as_py(), []
-        for b in range(n):
-            f = first[cut[b] : cut[b + 1]]
-            if len(f):
-                which = np.repeat(begin[f] - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())
-                rows.append((names[b], blk, X.pack(data[which], size[f].astype(np.uint8), best[cut[b] : cut[b + 1]])))
-        return X.rows_of(rows, ("bucket", "blk"))
-
-    asked = blocks.groupBy("blk").cogroup(shared.groupBy("blk")).applyInArrow(ask_runs, X.ASK)
-    owners = X.answer(asked, _owners(threshold))
+        runs = _sizes(h[first], n)
+        upto = np.r_[0, np.cumsum(length[first])][np.r_[0, np.cumsum(runs)]]
+        return route.asks(left.column("blk")[0].as_py(), [(data[X.ragged(begin[first], length[first])], np.diff(upto)), (size[first].astype(np.uint16), runs), (best, runs)])
+
+    asked = blocks.groupBy("blk").cogroup(shared.groupBy("key")).applyInArrow(ask_runs, X.ROWS)
+    owners = route.answer(asked, _owners(threshold))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         text = X.one(left, "text")
         ids = left.column("doc_id").fill_null(_NO_ID).to_numpy()
-        got = list(X.answers_of(right).values())
-        keys = np.concatenate([np.zeros(0, np.uint64), *[g[0] for g in got]])
-        count = np.concatenate([np.zeros(0, np.int64), *[g[1].astype(np.int64) for g in got]])
-        least = np.concatenate([np.zeros(0, np.int64), *[g[2] for g in got]])
+        got = X.heard(right)
+        keys, count, least = (got[k][0] for k in range(3)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        count = count.astype(np.int64)
         begin = np.cumsum(count) - count
         order = np.argsort(keys, kind="stable")
         keys, begin = keys[order], begin[order]
@@ -337,4 +312,4 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM,
                     kept[i + r] = buf[a:b].tobytes()
         return pa.table({"doc_id": left.column("doc_id"), "n_bytes": sizes, "spans": pa.array(spans, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
-    return blocks.groupBy("blk").cogroup(owners.groupBy("blk")).applyInArrow(finish, "doc_id long, n_bytes long, spans array<long>, kept binary")
+    return blocks.groupBy("blk").cogroup(owners.groupBy("key")).applyInArrow(finish, "doc_id long, n_bytes long, spans array<long>, kept binary")

@@ -29,10 +29,11 @@ def removed(rows, threshold=50):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup_is_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "partitions", "direct"), [(1, None, 1024), (2, None, 1024), (1, 5, 0), (2, 10, 0)])
+def test_suffix_dedup_is_brute_force(spark, seed, partitions, direct):
+    """With and without relays between blocks and buckets."""
     rows = corpus(seed)
-    found = sorted(((r.doc_id if r.doc_id is not None else 1 << 62), r.n_bytes, r.spans, bytes(r.kept)) for r in suffix.suffix_dedup(docs(spark, rows)).collect())
+    found = sorted(((r.doc_id if r.doc_id is not None else 1 << 62), r.n_bytes, r.spans, bytes(r.kept)) for r in suffix.suffix_dedup(docs(spark, rows), partitions=partitions, direct=direct).collect())
     want = sorted(((i if i is not None else 1 << 62), len((t or "").encode()), s, k) for (i, t, *_), (s, k) in zip(rows, removed(rows), strict=True))
     assert found == want
     assert any(s for _, _, s, _ in found)
@@ -69,6 +70,30 @@ def test_even_keys_are_even():
         assert (np.bincount(exchange._murmur3(np.array(keys)).astype(np.int64) % n, minlength=n) == each).all()
 
 
+def test_relays_send_fewer_rows(spark):
+    """Rows of each step grow with n * sqrt(n) by relays, with the square of n without; what is said is the same."""
+    rows = spark.createDataFrame([(i, prose(i, 30)) for i in range(400)], "doc_id long, text string")
+
+    def sent(n, direct):
+        blocks, route = exchange.in_blocks(rows, n, direct)
+
+        def asks(table):
+            sizes = np.ones(route.n, np.int64)
+            blk = table.column("blk")[0].as_py()
+            return route.asks(blk, [(np.full(route.n, blk), sizes)])
+
+        asked = blocks.groupBy("blk").applyInArrow(asks, exchange.ROWS).cache()
+        found = route.answer(asked, lambda columns: [(columns[0][0] * 2, columns[0][1])])
+        for r in found.groupBy("key").agg(F.collect_list("payload").alias("p")).collect():
+            ids, _, ((data, sizes),) = exchange.opened([bytes(p) for p in r.p])
+            assert sorted(ids.tolist()) == list(range(n)) and (data == 2 * r.key).all() and (sizes == 1).all()
+        return asked.count()
+
+    blocks = {n: exchange.in_blocks(rows, n)[0].select("blk").distinct().count() for n in (16, 64)}
+    for n, root in ((16, 4), (64, 8)):
+        assert sent(n, 1024) == blocks[n] * n and sent(n, 0) == blocks[n] * root
+
+
 def test_pack_round_trip():
     arrays = [np.arange(5, dtype=np.uint16), np.zeros(0, np.int64), np.array([1.5])]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, exchange.unpack(exchange.pack(*arrays)), strict=True))

@@ -84,13 +84,13 @@ def test_ppm_and_base_are_brute_force(spark, contexts):
         assert r.base_score == pytest.approx(w[4], abs=1e-6) and r.score == pytest.approx(w[5], rel=1e-5, abs=1e-4)
 
 
-@pytest.mark.parametrize("partitions", [3, 48])
-def test_ppm_keeps_rare_contexts(spark, partitions):
+@pytest.mark.parametrize(("partitions", "direct"), [(3, 1024), (48, 1024), (12, 0)])
+def test_ppm_keeps_rare_contexts(spark, partitions, direct):
     """However many symbols are learnt, contexts that occur once count; with many buckets some contexts are hot."""
     rows = [(i, prose(i, 300)) for i in range(150)] + [(900 + i, prose(i, 40) + " Zq%d rare" % i) for i in range(12)]
     training = [t.encode() for i, t in rows if folded(i, 5) != 1]
     assert sum(map(len, training)) > 1.2 * lm.CONTEXTS
-    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows), fold(5) != 1, partitions).collect()}
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, rows), fold(5) != 1, partitions, direct=direct).collect()}
     some = rows[:6] + rows[-12:]
     for (i, _), want in zip(some, brute_ppm(training, [t.encode() for _, t in some], 1 << 60), strict=True):
         assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
