@@ -12,8 +12,8 @@ them in training documents. A context of 3 symbols that has more than a bucket's
 share of the training symbols is hot: it is dealt by its last 4 symbols, and
 its own counts, of which there are fewer than buckets, are broadcast.
 
-A symbol is coded by the longest known context. Escapes are estimated as method C
-(distinct symbols against occurrences), and after an escape the symbols of the
+A symbol is coded by the longest known context. Escapes are estimated by method D
+(each distinct symbol gives up half an occurrence), and after an escape the symbols of the
 longer context are excluded from the shorter one. The excluded set at a depth is
 always that of the context just left, so every code length follows from sums
 over the trie.
@@ -137,10 +137,9 @@ def train(texts: DataFrame, buckets: int) -> tuple:
 def _level(counts, q_above, excluded, lower):
     """Probabilities at a context after an escape from a longer one, whose symbols are excluded; lower: at the next shorter."""
     q = (counts > 0).sum(axis=-1, keepdims=True) - q_above
-    total = counts.sum(axis=-1, keepdims=True) - excluded + q
-    safe = np.where(total > 0, total, 1)
-    escape = np.where(q > 0, q / safe, 1.0)
-    return np.where(counts > 0, counts / safe, escape * lower)
+    twice = 2 * np.maximum(counts.sum(axis=-1, keepdims=True) - excluded, 1)
+    escape = np.where(q > 0, q / twice, 1.0)
+    return np.where(counts > 0, (2 * counts - 1) / twice, escape * lower)
 
 
 def _escaped(longer, counts, lower):
@@ -218,11 +217,11 @@ class Model:
             _, m_up, q_up = shorter.sums(_tail(gram, k), shorter.m, shorter.q)
             # at the next shorter context, after the escape from this one
             left = q_up - q
-            total = np.maximum(m_up - out + left, 1)
+            twice = 2 * np.maximum(m_up - out, 1)
             c_up = shorter.count(_tail(gram, k))
-            below = np.where(c_up > 0, c_up / total, np.where(left > 0, left / total, 1.0) * below)
-            c, all_ = order.count(_tail(gram, k + 1)), np.maximum(m + q, 1)
-            p = np.where(known, np.where(c > 0, c / all_, q / all_ * below), p)
+            below = np.where(c_up > 0, (2 * c_up - 1) / twice, np.where(left > 0, left / twice, 1.0) * below)
+            c, twice = order.count(_tail(gram, k + 1)), 2 * np.maximum(m, 1)
+            p = np.where(known, np.where(c > 0, (2 * c - 1) / twice, q / twice * below), p)
             shorter = order
         return np.log10(p).astype(np.float32)
 

@@ -56,9 +56,9 @@ def brute_ppm(training, texts, contexts=lm.CONTEXTS):
                     continue
                 q, n = len(left), sum(left.values())
                 if s[p] in left:
-                    score += math.log10(left[s[p]] / (n + q))
+                    score += math.log10((2 * left[s[p]] - 1) / (2 * n))
                     break
-                score += math.log10(q / (n + q))
+                score += math.log10(q / (2 * n))
                 excluded = set(seen)
             else:
                 score -= math.log10(lm.UNIVERSE - len(trie[0].get(b"", {})))
@@ -96,6 +96,13 @@ def test_ppm_keeps_rare_contexts(spark, partitions, direct):
         assert got[i] == pytest.approx(want, rel=1e-5, abs=1e-4)
 
 
+def test_ppm_beats_the_words_on_held_out_text(spark):
+    """On held-out documents of the given tables, though the words' score does not spell unknown words."""
+    found = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), fold(5) != 1)
+    r = found.filter("held_out").agg(F.sum("score").alias("p"), F.sum("base_score").alias("b")).first()
+    assert r.p > 0.98 * r.b
+
+
 def test_ppm_without_training(spark):
     r = lm.score(docs(spark, [(1, "abc")]), F.lit(False)).first()
     assert r.train_tokens == 0 and r.score == pytest.approx(-4 * math.log10(lm.UNIVERSE))
