@@ -73,8 +73,13 @@ def parse_line(line: Column) -> Column:
     return F.when(kind == "hex", hexed).when(kind == "raw", plain)
 
 
+def head_of(text: Column) -> Column:
+    """The first bytes of a text (null: none), one character a byte."""
+    return F.decode(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, HEAD), "ISO-8859-1")
+
+
 def printable_share(head: Column) -> Column:
-    """Share of printable characters (0x20 to 0x7E, LF, CR; not TAB) in a text's head, null if empty."""
+    """Share of printable bytes (0x20 to 0x7E, LF, CR; not TAB) in a head, one character a byte; null if empty."""
     n = F.length(head)
     return F.when(n > 0, F.length(F.regexp_replace(head, "[^\\x20-\\x7E\\n\\r]", "")) / n)
 

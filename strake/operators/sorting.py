@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.record import SIZE
-from ..sources.records import read_records
+from ..sources.records import read_records, write_records
 from . import boundaries as B
 from . import partitioning, sampling
 
@@ -43,6 +43,15 @@ def sort_files(spark: SparkSession, paths: str | list[str], kind: str = "auto")
     return sorted_chunks(read_records(spark, paths, kind))
 
 
+def merge_files(spark: SparkSession, paths: str | list[str], path: str, limits: list | None = None, kind: str = "auto", overwrite: bool = False) -> None:
+    """The records of some files in order, in one file partition.0, or in one for each range of ``limits``.
+
+    All files are read in one scan, however many they are.
+    """
+    ordered, _ = range_sort(read_records(spark, paths, kind), len(limits or []) + 1, limits or [])
+    write_records(ordered, path, overwrite=overwrite)
+
+
 def merge_runs(runs: list[DataFrame]) -> DataFrame:
     """The union of sorted runs in order; all equal keys stay."""
     out = runs[0]

@@ -9,7 +9,7 @@ import pytest
 from pyspark import TaskContext
 
 from strake.operators import boundaries as B
-from strake.operators import sorting, validation
+from strake.operators import sampling, sorting, validation
 from strake.plans import checkpoints as C
 from strake.plans import cli, job
 from strake.plans import queries as Q
@@ -32,7 +32,7 @@ def written(path):
     return b"".join(open(p, "rb").read() for _, p in S.list_outputs(path))
 
 
-@pytest.mark.parametrize("sample", ["bernoulli", "systematic", "prefix"])
+@pytest.mark.parametrize("sample", ["blocks", "bernoulli", "systematic", "prefix"])
 def test_sort_job(spark, inputs, tmp_path, sample):
     paths, want = inputs
     done = job.run(spark, job.SortJob(paths, str(tmp_path / "out"), workers=2, partitions=7, sample=sample, rate=0.05, validate=True))
@@ -85,7 +85,7 @@ def test_a_failed_job_goes_on_with_its_boundaries(spark, inputs, tmp_path):
     paths, want = inputs
     limits = [b"\x40" + b"\0" * 9, b"\x90" + b"\0" * 9]
     marks = C.Checkpoints("j", str(tmp_path / "cp"))
-    marks.save("SORTING", C.State(partition_boundaries=[b.hex() for b in limits]), 0.4)
+    marks.save("SORTING", C.State(boundaries=[b.hex() for b in limits]), 0.4)
     job.run(spark, job.SortJob(paths, str(tmp_path / "out"), partitions=9, checkpoint_dir=str(tmp_path / "cp"), job_id="j"))
     assert [os.path.getsize(p) // 100 for _, p in S.list_outputs(str(tmp_path / "out"))] == [sum(d[:1] < b"\x40" for d in want), sum(b"\x40" <= d[:1] < b"\x90" for d in want), sum(d[:1] >= b"\x90" for d in want)]
     assert written(str(tmp_path / "out")) == b"".join(want)
@@ -124,7 +124,7 @@ def test_a_task_that_is_tried_again_writes_once(inputs, tmp_path):
 def test_checkpoints(tmp_path):
     marks = C.Checkpoints("w", str(tmp_path))
     assert marks.latest() is None and marks.statistics() == (0, 0)
-    state = C.State(worker_index=2, processed_records=5, partition_boundaries=["00ff"], shuffle_map={0: 1, 3: 2}, completed_partitions=[1], current_files=["a"], phase_metadata={"k": "v"})
+    state = C.State(inputs=["a"], boundaries=["00ff"], shuffle_map={0: 1, 3: 2}, outputs=[1], notes={"k": "v"})
     names = []
     for i, phase in enumerate(C.PHASES):
         names.append(marks.save(phase, state, i / 10))
@@ -156,6 +156,72 @@ def test_phases():
     assert [C.on_error(p, 1, 3) for p in ("SAMPLING", "MERGING", "COMPLETED")] == ["continue", "retry", "abort"] and C.on_error("SORTING", 2, 3) == "abort"
 
 
+def test_a_job_goes_through_its_phases(spark, inputs, tmp_path, monkeypatch):
+    """In order and none left out; what is not allowed raises."""
+    paths, _ = inputs
+    seen = []
+    save = C.Checkpoints.save
+    monkeypatch.setattr(C.Checkpoints, "save", lambda self, phase, state, progress: (seen.append(phase), save(self, phase, state, progress))[1])
+    job.run(spark, job.SortJob(paths, str(tmp_path / "out"), partitions=3, checkpoint_dir=str(tmp_path / "cp"), replicate=True))
+    assert seen == list(C.PHASES)
+    phases = C.Phases()
+    with pytest.raises(ValueError, match="does not go"):
+        phases.enter("SORTING")
+    phases.enter("INITIALIZING")
+    with pytest.raises(ValueError, match="does not go"):
+        phases.enter("MERGING")
+    assert phases.enter(C.FAILED) and phases.enter("INITIALIZING")
+
+
+def test_writing_is_tried_again(spark, inputs, tmp_path, monkeypatch):
+    """An error while records are written is tried again, as the policy says; one while they are sampled is not."""
+    paths, want = inputs
+    tries = []
+    write = job.write_records
+
+    def fails_once(*args, **kwargs):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("lost")
+        return write(*args, **kwargs)
+
+    monkeypatch.setattr(job, "write_records", fails_once)
+    done = job.run(spark, job.SortJob(paths, str(tmp_path / "out"), partitions=3))
+    assert len(tries) == 2 and written(str(tmp_path / "out")) == b"".join(want) and done["records_written"] == "3050"
+    monkeypatch.setattr(job, "sample_keys", lambda *a: (tries.append(1), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        job.run(spark, job.SortJob(paths, str(tmp_path / "out2"), partitions=3))
+    assert len(tries) == 3
+
+
+def test_a_job_needs_space_and_has_a_seed_of_its_own(spark, inputs, tmp_path, monkeypatch):
+    paths, _ = inputs
+    seeds = []
+    read = job.read_records
+    monkeypatch.setattr(job, "read_records", lambda *a, **k: (seeds.append(k.get("seed")), read(*a, **k))[1])
+    for name in ("worker-1", "worker-2"):
+        job.run(spark, job.SortJob(paths, str(tmp_path / name), partitions=2, job_id=name))
+    assert [s for s in seeds if s is not None] == [sampling.seed_of("worker-1"), sampling.seed_of("worker-2")]
+    monkeypatch.setattr(job, "enough_space", lambda path, total: False)
+    with pytest.raises(OSError, match="may take"):
+        job.run(spark, job.SortJob(paths, str(tmp_path / "out"), partitions=2))
+    job.run(spark, job.SortJob(paths, str(tmp_path / "out"), partitions=2, check_space=False))
+
+
+def test_a_job_says_how_far_it_is(spark, inputs, tmp_path):
+    paths, _ = inputs
+    said = []
+    with job._Watch(spark, said.append):
+        time.sleep(1.3)
+    assert said and all(isinstance(p, dict) for p in said)
+
+
+def test_checkpoints_on_other_file_systems(tmp_path):
+    marks = C.Checkpoints("w", f"file://{tmp_path}/cp")
+    marks.save("SAMPLING", C.State(), 0.1)
+    assert marks.latest()["phase"] == "SAMPLING" and os.listdir(tmp_path / "cp" / "w")
+
+
 def test_space():
     assert job.required_bytes(1000) == 5040 and job.enough_space("/", 1) and not job.enough_space("/", 1 << 60)
 

@@ -205,3 +205,23 @@ def test_parity(spark):
     twice = table(spark, keys(3) + keys(3))
     assert validation.parity(twice, twice)["same"] and not validation.parity(twice, twice, unique=True)["same"]
     assert validation.parity(a.limit(0), a.limit(0))["same"]
+
+
+def test_record_ranges_make_no_pairs(spark):
+    """Rows before the last filter are as many as files and workers, not their product."""
+    files = spark.createDataFrame([(f"f{i:03d}", 1000) for i in range(100)], "path string, size_bytes long")
+    rows = assignment.record_ranges(files, 50)
+    assert rows.count() <= 150 and rows.groupBy("worker_index").sum("record_count").count() == 50
+    assert [tuple(r) for r in assignment.whole_ranges(files.limit(1)).collect()] == [(0, "f000", 0, 10, 1000)]
+
+
+def test_inversions_of_files_across_splits(spark, tmp_path):
+    from strake.sources import records as S
+
+    r = random.Random(2)
+    for name, ks in (("a", sorted(keys(500))), ("b", keys(500, 3)), ("c", [b"k" * 10] * 40), ("d", sorted(keys(200), reverse=True))):
+        (tmp_path / name).write_bytes(b"".join(k + r.randbytes(90) for k in ks))
+    want = {"a": 0, "b": sum(x > y for x, y in zip(keys(500, 3), keys(500, 3)[1:], strict=False)), "c": 0, "d": 199}
+    for size in (300, 5_000, 1 << 20):
+        found = validation.file_inversions(S.read_records(spark, str(tmp_path), "binary", position=True, split_bytes=size)).collect()
+        assert {x.path.rsplit("/", 1)[1]: x.inversions for x in found} == want and all(x.is_sorted == (x.inversions == 0) for x in found)

@@ -139,3 +139,104 @@ def test_outputs_are_listed_by_number_and_whole_name(tmp_path):
     for name in ("partition.10", "partition.9", "partition.3.tmp", "xpartition.1", "partition.1"):
         put(tmp_path / name, b"")
     assert [n for n, _ in S.list_outputs(str(tmp_path))] == [1, 9, 10]
+
+
+def _texts(n, seed, mixed=True):
+    """Lines of several kinds and ends, good ones only."""
+    r = random.Random(seed)
+    out = []
+    for d in make(n, seed):
+        line = f"{d[:10].hex()} {d[10:].hex()}" if r.random() < 0.7 else "r" * r.randint(98, 100)
+        out.append((line.upper() if r.random() < 0.3 else line) + (r.choice(["\n", "\r\n", "\r"]) if mixed else "\n"))
+    return out
+
+
+@pytest.mark.parametrize("bad", [None, 0, 1, 57, 199])
+@pytest.mark.parametrize("mixed", [True, False])
+def test_text_files_are_read_in_splits(spark, tmp_path, bad, mixed):
+    """Whatever the splits, a text file gives its lines up to the first that is no record, each once."""
+    lines = _texts(200, 4, mixed)
+    text = "".join(lines if bad is None else [*lines[:bad], "TOO SHORT\n", *lines[bad:], "bad\n", *lines[:3]])
+    put(tmp_path / "t", (text if bad is None else text.rstrip("\r\n")).encode())
+    put(tmp_path / "u", "".join(lines[:5]).encode())
+    want = sorted(S._parse(x.strip("\r\n")) for x in [*lines[:bad], *lines[:5]])
+    assert load(S.read_records(spark, str(tmp_path), "ascii", position=True)) == want
+    for size in (64, 203, 1000, 20_011):
+        df = S.read_records(spark, str(tmp_path), "ascii", split_bytes=size)
+        assert load(df) == want
+    if bad is None:
+        assert df.rdd.getNumPartitions() > 2
+
+
+def test_splits_of_text_begin_at_lines(tmp_path):
+    """For every cut of a file into two, its halves hold each line once."""
+    text = "".join(_texts(4, 9)).encode()
+    path = put(tmp_path / "t", text)
+    whole = b"".join(d for _, d in S._ranges(S.Split(path, "ascii", 0, -1)))
+    for cut in range(1, len(text)):
+        halves = [b"".join(d for _, d in S._ranges(S.Split(path, "ascii", a, n))) for a, n in ((0, cut), (cut, len(text) - cut))]
+        assert b"".join(halves) == whole
+
+
+def test_a_sample_reads_blocks(spark, tmp_path):
+    data = make(20_000)
+    put(tmp_path / "a.dat", b"".join(data))
+    read = lambda seed: load(S.read_records(spark, str(tmp_path), "binary", split_bytes=500_000, sample_rate=0.1, seed=seed))
+    found = read(1)
+    assert found == read(1) != read(2) and 1500 < len(found) < 2600 and set(found) <= set(data) and len(set(found)) == len(found)
+    opened = []
+
+    class File:
+        def __init__(self, f):
+            self.f = f
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, n):
+            self.f.seek(n)
+
+        def read(self, n):
+            opened.append(n)
+            return self.f.read(n)
+
+    class System:
+        def open_input_file(self, path):
+            return File(open(path, "rb"))
+
+    old, S.located = S.located, lambda path: (System(), path)
+    try:
+        list(S._sampled(S.Split(str(tmp_path / "a.dat"), "binary", 0, 20_000), 0.01, 3))
+    finally:
+        S.located = old
+    assert sum(opened) <= 0.02 * len(data) * 100
+
+
+def test_a_commit_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    """The driver is lost amid an overwrite: neither the old outputs nor the new are, and the next look ends it."""
+    out = str(tmp_path / "out")
+    old, new = make(20, 1), make(30, 2)
+    frame = lambda rows, n: spark.createDataFrame([(d[:10], d[10:]) for d in rows], "key binary, value binary").repartition(n)
+    S.write_records(frame(old, 3), out)
+    monkeypatch.setattr(S, "finish", lambda path: 0)
+    writer = S.RecordWriter({"path": out}, True)
+    staged = tmp_path / "out" / writer.stage.rsplit("/", 1)[1]
+    for i in range(2):
+        put(staged / f"{i}-7", b"".join(new[i * 15 : (i + 1) * 15]))
+    monkeypatch.setattr(writer, "_clear", lambda: None)
+    writer.commit([S.Written(f"{writer.stage}/{i}-7", i, 15) for i in range(2)])
+    assert [n for n, _ in S.list_outputs(out)] == [0, 1, 2]  # nothing has moved yet
+    monkeypatch.undo()
+    os.replace(staged / "0-7", tmp_path / "out" / "partition.0")  # one move was done
+    assert S.finish(out) == 1 and S.finish(out) == 0
+    assert sorted(os.listdir(out)) == ["partition.0", "partition.1"]
+    assert load(S.read_records(spark, out, "binary")) == sorted(new)
+
+
+def test_counts_by_file(spark, tmp_path):
+    put(tmp_path / "a", b"".join(make(5)))
+    put(tmp_path / "b", b"x" * 50)
+    assert [(os.path.basename(r.path), r.records) for r in S.count_by_file(spark, str(tmp_path), "binary").collect()] == [("a", 5)]
