@@ -69,12 +69,10 @@ def made() -> int:
     return len(_made)
 
 
-def clear(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the tables that ``cut`` wrote in this process after a mark, but for those that ``keep`` reads directly."""
-    kept = {f.rsplit("/", 1)[0].removeprefix("file:").lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
-    left = [t for t in _made[since:] if t[1].removeprefix("file:").lstrip("/") in kept]
-    gone = [t for t in _made[since:] if t not in left]
-    _made[since:] = left
+def clear(since: int = 0, until: int | None = None) -> None:
+    """Delete the tables that ``cut`` wrote in this process, from one mark to another."""
+    gone = _made[since:until]
+    del _made[since:until]
     for spark, path in gone:
         _delete(spark, path)
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from common import corpus, docs, prose, sha
 from pyspark.sql import functions as F
+from test_dedup import links
 
 import corpus_pipeline
 from strake.llm import decontaminate, mixing, wrappers
@@ -320,6 +321,45 @@ def test_pipeline_stages_apply_in_turn(spark, tmp_path):
     assert sorted(map(tuple, out.select("doc_id", "copy_no").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty tables go through all stages."""
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [c for c in docs(spark, []).columns if c != "copy_no"] + ["copy_no"] and out.count() == 0
+
+
+def test_pipeline_on_nulls_and_repeated_rows(spark, tmp_path):
+    """Each stage, on columns of clashing names, null ids and texts, ties and repeated rows, keeps what plain code keeps."""
+    base = corpus(11, 70)
+    rows = [*base, *base[:6], (None, None), (None, ""), (None, prose(3, 30)), (5000, prose(3, 30)), (5000, prose(4, 30)), (5001, prose(6, 12) + " " + prose(7, 9))]
+    rows = [(r[0], r[1], "en", r[3] if len(r) > 3 else "a") for r in rows]
+    spark.createDataFrame([(1, prose(6, 12)), (None, prose(9, 11)), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    columns = docs(spark, []).columns
+    told = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    told_language = corpus_pipeline.language(spark, docs(spark, rows), str(tmp_path))
+    assert told_language.columns == columns
+    assert told(told_language) == Counter((i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t))
+
+    norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    unique = corpus_pipeline.exact_copies(spark, docs(spark, rows), str(tmp_path))
+    best: dict = {}
+    for i, t, *_ in rows:
+        best.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0))
+    got = [(norm(r.text), (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)) for r in unique.collect()]
+    assert unique.columns == columns and sorted(got) == sorted((n, min(g)) for n, g in best.items())
+
+    near = corpus_pipeline.near_copies(spark, docs(spark, rows), str(tmp_path))
+    want = links(rows)
+    assert near.columns == columns
+    assert told(near) == Counter((i, t) for i, t, *_ in rows if i is None or i not in want or want[i][0] == i)
+
+    clean = corpus_pipeline.benchmark_free(spark, docs(spark, rows), str(tmp_path))
+    items = [(1, prose(6, 12)), (None, prose(9, 11)), (2, None), (3, "")]
+    assert clean.columns == columns and told(clean) == Counter((i, t) for i, t, *_ in rows if not hits(t, items)[1])
+
+
 def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11)) and set(ORACLES) < set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
@@ -352,7 +392,7 @@ def test_width_is_not_a_guess_of_joins(spark, tmp_path):
     assert scratch.width(twice) == scratch.width(table) == 4
     mark = scratch.made()
     a, b = scratch.cut(table, "a"), scratch.cut(table, "b")
-    scratch.clear(mark, keep=b)
+    scratch.clear(mark, scratch.made() - 1)
     assert b.count() == table.count() and scratch.made() == mark + 1
     with pytest.raises(Exception, match="(?i)path|file"):
         a.count()
