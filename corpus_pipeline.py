@@ -85,5 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage{k}")
-            clear(begin, keep=docs)
+            clear(begin, made() - 1)
     return docs
