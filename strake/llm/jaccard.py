@@ -326,8 +326,13 @@ def _verify(least: dict[int, int], ngram: int, threshold: float):
 
 
 def _dealt(rows: DataFrame, count: str, block: int) -> DataFrame:
-    """Rows of a group as blocks and pairs of blocks: one pair (0, 0) for most, all pairs for groups over ``block``."""
-    n = F.ceil(F.col(count) / F.lit(block)).cast("int")
+    """Rows of a group as blocks and pairs of blocks: one pair (0, 0) for most, all pairs for groups over ``block``.
+
+    A row goes to each of its group's blocks once, so blocks of very large groups
+    are larger, up to eight times.
+    """
+    each = F.greatest(F.lit(block), F.least(F.lit(8 * block), F.ceil(F.col(count) / F.lit(32))))
+    n = F.ceil(F.col(count) / each).cast("int")
     mine = rows.withColumn("blk", F.pmod(F.xxhash64("k", F.lit(7)), n).cast("int"))
     each = mine.withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
     return each.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", count)

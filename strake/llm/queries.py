@@ -86,6 +86,35 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, at, substr(h, 2 * at + 1, 1098) AS part, least(500, length(h) // 2 - 49 - at) AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS at FROM d)),
+        w AS (SELECT doc_id, at + q AS p, substr(part, 2 * q + 1, 100) AS s FROM (SELECT *, unnest(range(n)) AS q FROM c)),
+        m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        g AS (SELECT w.doc_id, w.p FROM w JOIN m USING (s) WHERE w.doc_id > m.least),
+        i AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY p) AS run
+              FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS is_new FROM g)),
+        r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, run),
+        k AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS upto FROM r),
+        n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * upto + 1, 2 * (a - upto)), '' ORDER BY a) AS kept, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN n USING (doc_id)
+    """,
+    "op8_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, list_sort(list(DISTINCT array_to_string(w[i:i + 4], ' '))) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0) GROUP BY doc_id),
+        t AS (SELECT min(doc_id) AS id, count(*) AS n_copies, len(any_value(s)) AS size, any_value(s) AS s, md5(array_to_string(s, chr(10))) AS k FROM g GROUP BY k),
+        x AS (SELECT id, size, unnest(s) AS v FROM t),
+        p AS (SELECT a.id AS a, b.id AS b, any_value(a.size) + any_value(b.size) AS sizes, count(*) AS c FROM x a JOIN x b ON a.v = b.v AND a.id < b.id GROUP BY a.id, b.id),
+        e AS (SELECT a, b FROM p WHERE 10 * c >= 8 * (sizes - c)),
+        l AS (SELECT a AS id, b AS other FROM e UNION ALL SELECT b, a FROM e),
+        r(id, root) AS (SELECT id, id FROM t UNION SELECT l.other, r.root FROM r JOIN l ON r.id = l.id),
+        c AS (SELECT id, min(root) AS class_id FROM r GROUP BY id),
+        n AS (SELECT id, count(*) AS n_links FROM l GROUP BY id),
+        o AS (SELECT g.doc_id, c.class_id, coalesce(n.n_links, 0) AS n_links, t.n_copies FROM g JOIN t ON md5(array_to_string(g.s, chr(10))) = t.k JOIN c ON c.id = t.id LEFT JOIN n ON n.id = t.id)
+        SELECT d.doc_id, coalesce(o.class_id, d.doc_id) AS class_id, coalesce(o.n_links, 0) AS n_links, coalesce(o.n_copies, 1) AS n_copies FROM d LEFT JOIN o USING (doc_id)
+    """,
     "op2_exact_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         r AS (SELECT *, row_number() OVER w AS rn, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size
