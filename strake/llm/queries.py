@@ -88,8 +88,8 @@ QUERIES = {
 ORACLES = {
     "op1_suffix_dedup": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        c AS (SELECT doc_id, at, substr(h, 2 * at + 1, 1098) AS part, least(500, length(h) // 2 - 49 - at) AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS at FROM d)),
-        w AS (SELECT doc_id, at + q AS p, substr(part, 2 * q + 1, 100) AS s FROM (SELECT *, unnest(range(n)) AS q FROM c)),
+        c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1098) AS piece, least(500, length(h) // 2 - 49 - o) AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 500)) AS o FROM d)),
+        w AS (SELECT doc_id, o + q AS p, substr(piece, 2 * q + 1, 100) AS s FROM (SELECT *, unnest(range(n)) AS q FROM c)),
         m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
         g AS (SELECT w.doc_id, w.p FROM w JOIN m USING (s) WHERE w.doc_id > m.least),
         i AS (SELECT *, sum(is_new) OVER (PARTITION BY doc_id ORDER BY p) AS run
