@@ -9,8 +9,8 @@ one aggregate over the table of sources, which is never collected.
 A document is then taken ``floor(rate)`` times, and once more with probability
 equal to the fraction, where rate = target / source size. Coins are hashes of
 ids. Were they independent, a few long documents would carry a source far from
-its target, so they are balanced: the size classes of a source (16 an octave) are
-gone through from the longest down, and of each class the documents with the
+its target, so they are balanced: the classes of a source's texts by their bytes
+(16 an octave) are gone through from the longest down, and of each class the documents with the
 smallest coins are taken, as many as bring the words taken so far back on
 course. The words that are left over those that the target still lacks are a
 martingale, so a document's own probability stays the fraction (but where a
@@ -44,10 +44,14 @@ def coin(doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> Column:
     return unit(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit("")), seed)
 
 
-def size_class(size: Column) -> Column:
-    """Sizes up to 31 are classes of their own; from there an octave has 16."""
-    bits = F.length(F.bin(size))
-    return (bits * 32 + F.floor(size / F.pow(F.lit(2.0), F.greatest(bits - 5, F.lit(0))))).cast("int")
+def bytes_of(text: str = "text") -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def size_class(length: Column) -> Column:
+    """The class of a text by its bytes, which are known without a look at them: up to 31 each for itself, from there 16 an octave."""
+    bits = F.length(F.bin(length))
+    return (bits * 32 + F.floor(length / F.pow(F.lit(2.0), F.greatest(bits - 5, F.lit(0))))).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -102,11 +106,11 @@ def _balanced(classes: Column, extra: Column, words: Column) -> Column:
 def thresholds(sizes: DataFrame, targets: DataFrame, seed: int = 17, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """source, class, source_size, target, last: rows of a class whose coin is at most ``last`` are taken once more.
 
-    sizes (source, size, coin) are sorted once, by source, class and coin, and
+    sizes (source, size, length, coin) are sorted once, by source, class and coin, and
     written; a class's last coin stands at a known place of that order, so no
     source or class is held by one task.
     """
-    ordered = sizes.select("source", size_class(F.col("size")).alias("class"), "size", "coin").orderBy("source", "class", "coin").withColumn("at", F.monotonically_increasing_id())
+    ordered = sizes.select("source", size_class(F.col("length")).alias("class"), "size", "coin").orderBy("source", "class", "coin").withColumn("at", F.monotonically_increasing_id())
     ordered = cut(ordered, "coins")
     part = F.shiftright("at", 33)
     before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
@@ -128,13 +132,13 @@ def thresholds(sizes: DataFrame, targets: DataFrame, seed: int = 17, broadcast_s
 
 
 def with_targets(rows: DataFrame, found: DataFrame, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """rows (source, size) with their class's threshold, source's size and target: a broadcast while the table's counted size allows it, else a salted join."""
+    """rows (source, length) with their class's threshold, source's size and target: a broadcast while the table's counted size allows it, else a salted join."""
     found = found.withColumnsRenamed({"source": "t_source", "class": "t_class"})
-    same = F.col("source").eqNullSafe(F.col("t_source")) & (size_class(F.col("size")) == F.col("t_class"))
+    same = F.col("source").eqNullSafe(F.col("t_source")) & (size_class(F.col("length")) == F.col("t_class"))
     if found.count() <= broadcast_sources:
         return rows.join(F.broadcast(found), same).drop("t_source", "t_class")
     many = found.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("coin", "size"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("coin", "length"), F.lit(SALTS)).cast("int"))
     return salted.join(many, same & (F.col("salt") == F.col("t_salt"))).drop("t_source", "t_class", "t_salt", "salt")
 
 
@@ -148,12 +152,12 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     """doc_id, source, size, source_size, target, copies, taken: how often each row goes into the mix.
 
     A null text has size 0, an empty one too; a null source is a source, the
-    last. Rows that repeat an id share its coin, so of one size they are taken
+    last. Rows that repeat an id share its coin, so of one length they are taken
     alike. Sources without a word have target 0 and are not taken. Other columns of ``docs`` are not read; an empty
     table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), coin(seed=seed).alias("coin"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), bytes_of().alias("length"), coin(seed=seed).alias("coin"))
     sizes = cut(read, "sizes")
     found = thresholds(sizes, source_targets(sizes.select("source", "size"), weights, cap), seed, broadcast_sources)
     rows = with_targets(sizes, found, broadcast_sources)
@@ -164,13 +168,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     """The mix itself: every row of ``docs`` as often as it is taken, numbered by ``copy_no`` from 0.
 
     All columns are returned; one of the name copy_no is replaced. The classes'
-    thresholds are joined to the rows, so texts are not shuffled. Nulls, repeated
+    thresholds are joined to the rows, so texts are not shuffled, and their words
+    are counted once. Nulls, repeated
     rows and empty tables as in ``mix_counts``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = cut(docs.select("source", size.alias("size"), coin(seed=seed).alias("coin")), "sizes")
+    sizes = cut(docs.select("source", size.alias("size"), bytes_of().alias("length"), coin(seed=seed).alias("coin")), "sizes")
     found = thresholds(sizes, source_targets(sizes.select("source", "size"), weights, cap), seed, broadcast_sources)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy_no"]).alias("doc"), "doc_id", "source", size.alias("size"), coin(seed=seed).alias("coin"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy_no"]).alias("doc"), "source", bytes_of().alias("length"), coin(seed=seed).alias("coin"))
     rows = with_targets(packed, found, broadcast_sources).withColumn("copies", copies())
     many = F.when(F.col("copies") > 0, F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     return rows.select("doc", F.explode(many).alias("copy_no")).select("doc.*", "copy_no")

@@ -135,7 +135,7 @@ ORACLES = {
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
     "op10_mix_sources": r"""
-        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(strlen(text), 0)::BIGINT AS bytes,
                           ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS coin FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST) - 1 AS rk FROM d GROUP BY source),
         w AS (SELECT *, ([5, 2, 1])[(rk % 3 + 1)::INT]::HUGEINT AS w, (3 * s)::HUGEINT AS cap FROM s),
@@ -147,7 +147,7 @@ ORACLES = {
         l AS (SELECT (t - c_before)::DOUBLE / (ws - w_before)::DOUBLE AS level, o.k FROM o JOIN f USING (k)),
         g AS (SELECT source, s, CASE WHEN t = 0 THEN 0.0 WHEN o.k < l.k THEN cap::DOUBLE ELSE l.level * w::DOUBLE END AS target FROM o, l),
         f2 AS (SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS r FROM g),
-        x AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS cls FROM d),
+        x AS (SELECT *, length(bin(bytes)) * 32 + (bytes >> greatest(length(bin(bytes)) - 5, 0)) AS cls FROM d),
         c AS (SELECT source, cls, count(*) AS n, sum(size)::DOUBLE AS words, row_number() OVER (PARTITION BY source ORDER BY cls DESC) AS i,
                      ('0x' || substr(md5('17:' || concat_ws(':', coalesce(source, ''), cls::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM x GROUP BY source, cls),
         k(source, i, cls, k, lack, rest) AS (
