@@ -60,7 +60,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source, the last. Documents without a word go where their
     source has none, else they are taken at its rate; rows that repeat an id and a
-    size are taken alike. A column of the name copy_no is replaced.
+    length are taken alike. A column of the name copy_no is replaced.
     """
     return mixing.mix(docs)
 
