@@ -73,6 +73,11 @@ def stored(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _stored[at]
 
 
+def _split(path: str) -> int:
+    """Split bytes for some 32 splits of a small input."""
+    return max(50_000, S.total_bytes(path) // 32)
+
+
 def _number(path: str = "path") -> Column:
     return F.regexp_extract(path, r"partition\.(\d+)$", 1).cast("int")
 
@@ -144,7 +149,8 @@ def _scanned(read: DataFrame) -> DataFrame:
 
 def read_binary(spark, sf_dir):
     """Every record of binary files, read in many splits."""
-    return _scanned(S.read_records(spark, stored(spark, sf_dir, "lines"), "binary", position=True, split_bytes=50_000))
+    path = stored(spark, sf_dir, "lines")
+    return _scanned(S.read_records(spark, path, "binary", position=True, split_bytes=_split(path)))
 
 
 def read_hex(spark, sf_dir):
@@ -154,13 +160,15 @@ def read_hex(spark, sf_dir):
 
 def read_hex_splits(spark, sf_dir):
     """The same files in many splits, counted."""
-    read = S.read_records(spark, stored(spark, sf_dir, "lines_hex"), split_bytes=50_000)
+    path = stored(spark, sf_dir, "lines_hex")
+    read = S.read_records(spark, path, split_bytes=_split(path))
     return validation.checksum(read)
 
 
 def read_raw(spark, sf_dir):
     """Every record of raw text files."""
-    read = S.read_records(spark, stored(spark, sf_dir, "lines_raw"), "ascii", split_bytes=50_000)
+    path = stored(spark, sf_dir, "lines_raw")
+    read = S.read_records(spark, path, "ascii", split_bytes=_split(path))
     return read.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"))
 
 
@@ -200,7 +208,8 @@ def whole_ranges(spark, sf_dir):
 
 
 def _arrived(spark, sf_dir):
-    return S.read_records(spark, stored(spark, sf_dir, "arrived"), "binary", position=True, split_bytes=50_000)
+    path = stored(spark, sf_dir, "arrived")
+    return S.read_records(spark, path, "binary", position=True, split_bytes=_split(path))
 
 
 def sample_prefix(spark, sf_dir):
@@ -356,7 +365,7 @@ def merge_files(spark, sf_dir):
     """Files merged into one file, read again: each record's place in it."""
     path = shared.folder(spark, "merged")
     sorting.merge_files(spark, stored(spark, sf_dir, "arrived"), path, kind="binary")
-    return _event(S.read_records(spark, path, "binary", position=True, split_bytes=50_000)).select("event_id", "path", "record_index")
+    return _event(S.read_records(spark, path, "binary", position=True, split_bytes=_split(path))).select("event_id", "path", "record_index")
 
 
 def merge_partition(spark, sf_dir):
@@ -400,7 +409,8 @@ def merge_statistics(spark, sf_dir):
 def is_sorted(spark, sf_dir):
     """Files in order of arrival are not sorted by key; files by key are."""
     found = validation.file_inversions(_arrived(spark, sf_dir)).withColumn("path", _number().cast("string"))
-    ordered = S.read_records(spark, stored(spark, sf_dir, "by_key"), "binary", position=True, split_bytes=50_000)
+    path = stored(spark, sf_dir, "by_key")
+    ordered = S.read_records(spark, path, "binary", position=True, split_bytes=_split(path))
     return found.union(validation.file_inversions(ordered).withColumn("path", F.concat(F.lit("sorted-"), _number()))).select("path", "inversions", "is_sorted")
 
 
