@@ -2,17 +2,19 @@
 
 The text view sees the text: shares of character classes, of pairs of classes,
 of repeated words, and the lengths of words and lines. The metadata view sees
-language, source and length as stated. Each is a logistic regression, fitted on
-a bounded sample of labelled rows (``sample``, spread by a hash of the id) and
-handed a bounded pool of unlabelled ones. Over some rounds each view labels the
-pool rows it is surest of (at most ``exchange`` of each label, and only beyond
-``sure``), and the other learns them. A third of the labelled sample takes no
-part; on it each view's logit is scaled to a probability, and the two calibrated
-logits are combined by a last regression. All documents are then scored.
+language, source and length as stated. Both are written once, some 380 bytes a
+document, and read from then on. Each view is a logistic regression, fitted on a
+bounded sample of labelled rows (``sample``, spread by a hash of the id). Over some
+rounds both score every unlabelled document; each view labels those of all that it
+is surest of (``exchange`` of each label, and only beyond ``sure``; of equally sure
+ones the smallest ids), and the other learns them. A third of the labelled sample
+takes no part; on it each view's logit is scaled to a probability, and the two
+calibrated logits are combined by a last regression. All documents are then scored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,19 +71,37 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
-def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """The metadata view: language and source hashed to places, and bins of the stated length; nulls have their own."""
-    out = np.zeros((len(lang), 3 * HASHED), np.float32)
+def meta_codes(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """The metadata view in three places a row: hashes of language and source, and a bin of the stated length; nulls have their own."""
+    out = np.zeros((len(lang), 3), np.uint8)
     if not len(lang):
         return out
     for k, names in enumerate((lang, source)):
         buf, a, b = K.joined(["\0none" if x is None else str(x) for x in names])
-        out[np.arange(len(names)), k * HASHED + (K.span_hashes(buf, a, b) % np.uint64(HASHED)).astype(np.int64)] = 1
+        out[:, k] = K.span_hashes(buf, a, b) % np.uint64(HASHED)
     size = np.array([-1 if x is None else max(0, x) for x in n_chars], float)
-    out[np.arange(len(size)), 2 * HASHED + np.where(size < 0, HASHED - 1, np.minimum(3 * np.log1p(np.maximum(size, 0)), HASHED - 2)).astype(np.int64)] = 1
+    out[:, 2] = np.where(size < 0, HASHED - 1, np.minimum(3 * np.log1p(np.maximum(size, 0)), HASHED - 2))
     return out
 
 
+def meta_features(codes: np.ndarray) -> np.ndarray:
+    """The metadata view: a one for each place."""
+    out = np.zeros((len(codes), 3 * HASHED), np.float32)
+    for k in range(3):
+        out[np.arange(len(codes)), k * HASHED + codes[:, k]] = 1
+    return out
+
+
+def packed(text: np.ndarray, codes: np.ndarray) -> list[bytes]:
+    """Both views of each row as bytes; the text view with half precision."""
+    return [t.tobytes() + c.tobytes() for t, c in zip(text.astype(np.float16), codes, strict=True)]
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * TEXT_FEATURES + 3)
+    return np.ascontiguousarray(raw[:, : 2 * TEXT_FEATURES]).view(np.float16).astype(np.float32), meta_features(raw[:, 2 * TEXT_FEATURES :])
+
+
 class Logistic:
     """Logistic regression on standardised features, by Newton steps with a ridge."""
 
@@ -124,42 +144,115 @@ class Model:
         return own[0], own[1], self.combined.probability(np.column_stack(views))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, exchange: int = EXCHANGE, sure: float = SURE) -> Model | None:
-    """A model from labelled rows (0 or 1) and unlabelled ones (-1); None unless both labels are there."""
+def surest(ids: np.ndarray, p: list[np.ndarray], exchange: int, sure: float) -> list[tuple[int, int, np.ndarray]]:
+    """(view, label, rows): the rows that each view is surest of, for each label; a row is taken once."""
+    out, taken = [], set()
+    for k, own in enumerate(p):
+        for value, score in ((1, own), (0, 1 - own)):
+            best = np.lexsort((ids, -score))[:exchange]
+            new = [i for i in best[score[best] >= sure].tolist() if ids[i] not in taken]
+            taken.update(ids[new].tolist())
+            out.append((k, value, np.array(new, np.int64)))
+    return out
+
+
+class Rows:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views, self.left = (text, meta), np.arange(len(text))
+
+    def take(self, models: list[Logistic], exchange: int, sure: float) -> list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+        """(view, label, both views of the rows that it is surest of); they are gone then."""
+        text, meta = (x[self.left] for x in self.views)
+        found = surest(self.left, [m.probability(x) for m, x in zip(models, (text, meta), strict=True)], exchange, sure)
+        out = [(k, value, (text[rows], meta[rows])) for k, value, rows in found]
+        self.left = np.delete(self.left, np.concatenate([rows for _, _, rows in found]))
+        return out
+
+
+class Documents:
+    """Unlabelled documents of a table (doc_id, x), all of which are scored in every round.
+
+    A task returns its surest rows, some sqrt(tasks) tasks the surest of these,
+    and the driver picks among theirs: ids and probabilities, four times
+    ``exchange`` a task. Then the features of the chosen come to it.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.table, self.taken = table, set()
+
+    def take(self, models: list[Logistic], exchange: int, sure: float) -> list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]:
+        spark = self.table.sparkSession
+        sent = spark.sparkContext.broadcast((models, np.array(sorted(self.taken), np.int64)))
+        names = ["doc_id", "p0", "p1"]
+
+        def few(ids: np.ndarray, p: list[np.ndarray]) -> pa.RecordBatch:
+            order = np.lexsort((p[1], p[0], ids))
+            ids, p = ids[order], [own[order] for own in p]
+            _, once = np.unique(ids, return_index=True)  # rows that repeat an id count once
+            ids, p = ids[once], [own[once] for own in p]
+            # a view's surest may be taken by the other: each has all of its own
+            kept = np.unique(np.concatenate([np.lexsort((ids, -score))[: 4 * exchange] for own in p for score in (own, 1 - own)]))
+            kept = kept[np.max([np.maximum(own, 1 - own)[kept] for own in p], axis=0) >= sure]
+            return pa.RecordBatch.from_arrays([pa.array(ids[kept]), *(pa.array(own[kept]) for own in p)], names=names)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, gone = sent.value
+            ids, p = np.zeros(0, np.int64), [np.zeros(0), np.zeros(0)]
+            for batch in batches:
+                own = batch.column("doc_id").to_numpy()
+                some = ~np.isin(own, gone)
+                found = [m.probability(x) for m, x in zip(views, unpacked(batch.column("x")), strict=True)]
+                best = few(np.concatenate([ids, own[some]]), [np.concatenate([a, b[some]]) for a, b in zip(p, found, strict=True)])
+                ids, p = best.column("doc_id").to_numpy(), [best.column(c).to_numpy() for c in names[1:]]
+            yield few(ids, p)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("p0", pa.float64()), ("p1", pa.float64())]))
+            yield few(rows.column("doc_id").to_numpy(), [rows.column(c).to_numpy() for c in names[1:]])
+
+        kind = "doc_id long, p0 double, p1 double"
+        tasks = max(1, math.isqrt(self.table.rdd.getNumPartitions()))
+        best = self.table.mapInArrow(score, kind).repartition(tasks, "doc_id").mapInArrow(meet, kind).toArrow()
+        ids = best.column("doc_id").to_numpy()
+        found = surest(ids, [best.column(c).to_numpy() for c in names[1:]], exchange, sure)
+        chosen = np.concatenate([ids[rows] for _, _, rows in found]).tolist()
+        if not chosen:
+            return []
+        self.taken.update(chosen)
+        table = self.table.filter(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min("x").alias("x")).toArrow()
+        at = {i: n for n, i in enumerate(table.column("doc_id").to_pylist())}
+        text, meta = unpacked(table.column("x").combine_chunks())
+        place = [np.array([at[i] for i in ids[rows].tolist()], np.int64) for _, _, rows in found]
+        return [(k, value, (text[n], meta[n])) for (k, value, _), n in zip(found, place, strict=True)]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool=None, rounds: int = ROUNDS, exchange: int = EXCHANGE, sure: float = SURE) -> Model | None:
+    """A model from labelled rows (0 or 1) and unlabelled ones (those labelled -1, or ``pool``); None unless both labels are there."""
     known = np.flatnonzero(label >= 0)
     held, fit = known[::3], np.setdiff1d(known, known[::3])
     if len(set(label[held])) < 2 or len(set(label[fit])) < 2:
         return None
     views = (text, meta)
-    taught = [dict(zip(fit.tolist(), label[fit].tolist(), strict=True)) for _ in views]  # row -> label, for each view
-    pool = set(np.flatnonzero(label < 0).tolist())
+    pool = pool or Rows(text[label < 0], meta[label < 0])
+    taught: list[list[tuple[np.ndarray, np.ndarray]]] = [[(x[fit], label[fit].astype(float))] for x in views]  # rows and labels, for each view
 
     def fitted() -> list[Logistic]:
         out = []
-        for x, rows in zip(views, taught, strict=True):
-            at = np.array(sorted(rows))
-            y = np.array([rows[i] for i in at.tolist()], float)
+        for rows in taught:
             # a guessed label weighs half of a true one
-            out.append(Logistic().fit(x[at], y, np.where(label[at] >= 0, 1.0, 0.5)))
+            weight = np.concatenate([np.full(len(y), 0.5 if n else 1.0) for n, (_, y) in enumerate(rows)])
+            out.append(Logistic().fit(np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows]), weight))
         return out
 
     models = fitted()
     for _ in range(rounds):
-        left = np.array(sorted(pool))
-        if not len(left):
-            break
-        moved = set()
-        for k, model in enumerate(models):
-            p = model.probability(views[k][left])
-            for value, score in ((1, p), (0, 1 - p)):
-                best = np.argsort(-score, kind="stable")[:exchange]
-                for i in left[best[score[best] >= sure]].tolist():
-                    if i not in moved:
-                        taught[1 - k][i] = value
-                        moved.add(i)
-        if not moved:
+        found = pool.take(models, exchange, sure)
+        if not any(len(both[0]) for _, _, both in found):
             break
-        pool -= moved
+        for k, value, both in found:
+            taught[1 - k].append((both[1 - k], np.full(len(both[0]), float(value))))
         models = fitted()
     y = label[held].astype(float)
     calibration = [Logistic(0.01).fit(m.logit(x[held])[:, None], y) for m, x in zip(models, views, strict=True)]
@@ -169,38 +262,35 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = np.column_stack([text_features(batch.column("text")), meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))])
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "h", "x"])
+        x = packed(text_features(batch.column("text")), meta_codes(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars"))))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.binary())], names=["doc_id", "x"])
 
 
-def train(rows: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model of rows (doc_id, text, lang, source, n_chars) and known (doc_id, label).
+def train(views: DataFrame, known: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model of views (doc_id, x) and known (doc_id, label).
 
-    Only ids meet the labels. About ``sample`` labelled and as many unlabelled
-    ids are picked; these, bounded by the parameter, are broadcast to the texts,
-    and as many rows of numbers come to the driver.
+    About ``sample`` of the labelled ids are picked; these, bounded by the
+    parameter, are broadcast, and as many rows of numbers come to the driver.
+    Labelled documents are no unlabelled ones, picked or not.
     """
-    ids = cut(rows.select("doc_id").join(known, "doc_id", "left"), "known")
-    n = {r.known: r.n for r in ids.groupBy(F.col("label").isNotNull().alias("known")).agg(F.count("*").alias("n")).collect()}
-    if not n.get(True):
+    ids = cut(views.select("doc_id").filter("doc_id is not null").join(known, "doc_id", "left"), "known")
+    n = ids.filter("label is not null").count()
+    if not n:
         return None
     place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    share = F.when(F.col("label").isNotNull(), F.lit(min(1.0, sample / n[True]))).otherwise(F.lit(min(1.0, sample / max(1, n.get(False, 0)))))
-    picked = ids.filter(place < share * (1 << 20)).groupBy("doc_id").agg(F.coalesce(F.max("label"), F.lit(-1)).cast("int").alias("label"))
-    chosen = rows.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(12)))
-    table = chosen.select("text", "lang", "source", "n_chars", "label", "h").mapInArrow(_features, "label int, h long, x binary").toArrow().sort_by("h")
+    picked = ids.filter(F.col("label").isNotNull() & (place < min(1.0, sample / n) * (1 << 20))).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    chosen = views.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(12)))
+    table = chosen.toArrow().sort_by([("h", "ascending"), ("x", "ascending")])
     if not table.num_rows:
         return None
-    x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1)
-    return co_train(x[:, :TEXT_FEATURES], x[:, TEXT_FEATURES:], table.column("label").to_numpy())
+    free = cut(views.join(ids.filter("label is null").select("doc_id").distinct(), "doc_id", "left_semi"), "unlabelled")
+    return co_train(*unpacked(table.column("x").combine_chunks()), table.column("label").to_numpy(), Documents(free))
 
 
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = text_features(batch.column("text"))
-            meta = meta_features(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            own = model.value.score(text, meta) if model is not None else (np.full(batch.num_rows, 0.5),) * 3
+            own = model.value.score(*unpacked(batch.column("x")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.asarray(p, float)) for p in own)], names=["doc_id", "p_text", "p_meta", "score"])
 
     return score
@@ -219,6 +309,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: fl
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("label"))
-    model = train(rows, known, sample)
-    scored = rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model) if model else None), "doc_id long, p_text double, p_meta double, score double")
+    half = F.lit(0.5)
+    scored = rows.select("doc_id", half.alias("p_text"), half.alias("p_meta"), half.alias("score"))
+    if known.limit(1).count():
+        views = cut(rows.mapInArrow(_features, "doc_id long, x binary"), "views")
+        if model := train(views, known, sample):
+            scored = views.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "doc_id long, p_text double, p_meta double, score double")
     return scored.withColumn("keep", F.col("score") >= least)

@@ -224,6 +224,23 @@ def test_quality_exchanges_labels():
     assert quality.co_train(text, meta, np.full(600, -1)) is None
 
 
+def test_quality_takes_the_surest_of_all_documents(spark):
+    """Over a table in many partitions the same rows are taken as in memory, none twice."""
+    r = np.random.default_rng(6)
+    text, codes = r.normal(0, 1, (500, quality.TEXT_FEATURES)).astype(np.float16).astype(np.float32), r.integers(0, 60, (500, 3)).astype(np.uint8)
+    meta = quality.meta_features(codes)
+    models = [quality.Logistic().fit(x[:200], r.integers(0, 2, 200).astype(float)) for x in (text, meta)]
+    rows = [(i, x) for i, x in enumerate(quality.packed(text, codes))]
+    table = spark.createDataFrame([*rows, *rows[:50]], "doc_id long, x binary").repartition(13)
+    here, there = quality.Rows(text, meta), quality.Documents(table)
+    for _ in range(3):
+        a, b = here.take(models, 15, 0.6), there.take(models, 15, 0.6)
+        assert [(k, v) for k, v, _ in a] == [(k, v) for k, v, _ in b]
+        for (_, _, x), (_, _, y) in zip(a, b, strict=True):
+            assert len(x[0]) and all((m == n).all() for m, n in zip(x, y, strict=True))
+    assert sorted(set(range(500)) - there.taken) == here.left.tolist()
+
+
 def test_quality_without_labels(spark):
     rows, _ = _quality(12)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
