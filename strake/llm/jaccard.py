@@ -5,7 +5,8 @@
 2. A text has 96 MinHash values of 16 bits; four make one of 24 band keys. Texts
    that share a band key are candidates (two texts at 0.8 share none with
    probability 3e-6).
-3. Candidates' MinHash values are compared 16 at a time. With m of n equal and a
+3. Candidates must have sizes that can reach the threshold: the smaller set at
+   least that part of the larger. Their MinHash values are compared 16 at a time. With m of n equal and a
    uniform prior the similarity is Beta(m + 1, n - m + 1); a pair is dropped as
    soon as the probability that it reaches the threshold is below the tolerance.
 4. What is left joins texts into clusters. Within a cluster all pairs pass the
@@ -124,8 +125,10 @@ def _signer(ngram: int):
     return sign
 
 
-def surviving(sig: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b) of rows of ``sig`` that the incremental comparison does not drop."""
+def surviving(sig: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int], t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (a, b) of rows of ``sig`` whose sizes allow a link and which the incremental comparison does not drop."""
+    ok = np.minimum(size[a], size[b]) * t.denominator >= t.numerator * np.maximum(size[a], size[b])
+    a, b = a[ok], b[ok]
     same = np.zeros(len(a), np.int32)
     for n in range(STEP, HASHES + 1, STEP):
         part = sig[:, n - STEP : n]
@@ -213,13 +216,13 @@ def _signatures(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, BANDS).view(np.uint16)
 
 
-def _cluster(least: dict[int, int]):
+def _cluster(least: dict[int, int], t: Fraction):
     """Of each bucket (or pair of its blocks), edges that join the texts whose pairs survive."""
 
     def work(table: pa.Table, cuts: np.ndarray) -> pa.Table:
         k, blk = table.column("k").to_numpy(), table.column("blk").to_numpy()
         cross = table.column("i").to_numpy() != table.column("j").to_numpy()
-        sig = _signatures(table.column("bands"))
+        sig, size = _signatures(table.column("bands")), table.column("size").to_numpy()
         ends = np.r_[cuts[1:], table.num_rows]
         out_a, out_b = [], []
         small = ends - cuts <= 8
@@ -231,7 +234,7 @@ def _cluster(least: dict[int, int]):
             few_b.append((at[:, None] + y).ravel())
         a, b = np.concatenate(few_a), np.concatenate(few_b)
         keep = ~cross[a] | (blk[a] != blk[b])
-        a, b = surviving(sig, a[keep], b[keep], least)
+        a, b = surviving(sig, size, a[keep], b[keep], least, t)
         out_a.append(k[a])
         out_b.append(k[b])
         for lo, hi in zip(cuts[~small], ends[~small], strict=True):
@@ -239,7 +242,7 @@ def _cluster(least: dict[int, int]):
             if cross[lo] and len(np.unique(blk[lo:hi])) < 2:
                 continue
             for a, b in _pairs(blk[lo:hi], bool(cross[lo])):
-                forest.join(*surviving(sig[lo:hi], a, b, least))
+                forest.join(*surviving(sig[lo:hi], size[lo:hi], a, b, least, t))
             roots = forest.roots()
             order = np.argsort(roots, kind="stable")
             chain = np.flatnonzero(roots[order][1:] == roots[order][:-1])
@@ -270,9 +273,8 @@ def _overlaps(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> Call
     return of
 
 
-def _verify(least: dict[int, int], ngram: int, threshold: float):
+def _verify(least: dict[int, int], ngram: int, t: Fraction):
     """Of each cluster (or pair of its blocks), for every text the number of links found and a linked text."""
-    t = Fraction(threshold).limit_denominator(10_000)
 
     def linked(shared, x, y):
         return shared * t.denominator >= t.numerator * (x + y - shared)
@@ -302,7 +304,7 @@ def _verify(least: dict[int, int], ngram: int, threshold: float):
             index = None
             for a, b in _pairs(blk[lo:hi], bool(cross[lo])):
                 ok = real[a] & real[b]
-                a, b = surviving(sig[lo:hi], a[ok], b[ok], least)
+                a, b = surviving(sig[lo:hi], size, a[ok], b[ok], least, t)
                 if not len(a):
                     continue
                 if len(a) <= 64:
@@ -352,7 +354,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
     repeat an id and a text are copies. An empty table gives no rows.
     """
     n = width(docs, partitions)
-    least = least_matches(threshold, tolerance)
+    least, t = least_matches(threshold, tolerance), Fraction(threshold).limit_denominator(10_000)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = cut(read.mapInArrow(_signer(ngram), "doc_id long, k long, size long, bands array<long>"), "signatures")
     texts = signed.filter("size > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -360,10 +362,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
 
     band = texts.select("k", F.posexplode("bands").alias("b", "v")).select("k", F.xxhash64("b", "v").alias("bucket"))
     shared = band.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1")
-    members = _dealt(band.join(shared, "bucket"), "c", block).join(texts.select("k", "bands"), "k")
+    members = _dealt(band.join(shared, "bucket"), "c", block).join(texts.select("k", "size", "bands"), "k")
     order = ["bucket", "i", "j"]
     placed = members.repartition(n, *order).sortWithinPartitions(*order)
-    edges = placed.select(*order, "blk", "k", "bands").mapInArrow(_grouped(order, _cluster(least), ["a", "b"]), "a long, b long")
+    edges = placed.select(*order, "blk", "k", "size", "bands").mapInArrow(_grouped(order, _cluster(least, t), ["a", "b"]), "a long, b long")
     clusters = cut(components(edges).withColumnsRenamed({"node": "k", "root": "cluster"}), "clusters")
 
     members = cut(clusters.join(texts.select("k", "id", "size", "bands"), "k"), "members")
@@ -377,7 +379,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, ngram: int =
     order = ["cluster", "i", "j"]
     placed = members.repartition(n, *order).sortWithinPartitions(*order, "k")
     names = ["k", "id", "other", "links"]
-    verified = cut(placed.select(*order, "blk", "k", "id", "bands", "text").mapInArrow(_grouped(order, _verify(least, ngram, threshold), names), "k long, id long, other long, links long"), "links")
+    verified = cut(placed.select(*order, "blk", "k", "id", "bands", "text").mapInArrow(_grouped(order, _verify(least, ngram, t), names), "k long, id long, other long, links long"), "links")
 
     links = verified.groupBy("k").agg(F.sum("links").alias("n_links"))
     # nodes are ids here, so a class's root is its smallest id
