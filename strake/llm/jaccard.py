@@ -39,7 +39,7 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
 STEP = 16
-BLOCK = 512
+BLOCK = 256
 #: N-grams of a text of usual length; longer texts make blocks of fewer.
 HEAVY = 1000
 #: Sizes of up to so many clusters over a block are broadcast (16 bytes each); more are joined.
@@ -331,9 +331,9 @@ def _dealt(rows: DataFrame, count: str, block: int) -> DataFrame:
     """Rows of a group as blocks and pairs of blocks: one pair (0, 0) for most, all pairs for groups over ``block``.
 
     A row goes to each of its group's blocks once, so blocks of very large groups
-    are larger, up to eight times.
+    are larger, up to sixteen times.
     """
-    each = F.greatest(F.lit(block), F.least(F.lit(8 * block), F.ceil(F.col(count) / F.lit(32))))
+    each = F.greatest(F.lit(block), F.least(F.lit(16 * block), F.ceil(F.col(count) / F.lit(32))))
     n = F.ceil(F.col(count) / each).cast("int")
     mine = rows.withColumn("blk", F.pmod(F.xxhash64("k", F.lit(7)), n).cast("int"))
     each = mine.withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
