@@ -43,6 +43,22 @@ def sort_files(spark: SparkSession, paths: str | list[str], kind: str = "auto")
     return sorted_chunks(read_records(spark, paths, kind))
 
 
+def sort_each_file(spark: SparkSession, paths: str | list[str], kind: str = "auto") -> DataFrame:
+    """key, value, path, record_index: each file a run of its own, with a record's place in it, however many splits the file has.
+
+    Splits are dealt by ranges of path, key and value, so many tasks sort one large
+    file; a record's place is its rank less the records of the files before.
+    """
+    records = read_records(spark, paths, kind, position=True).drop("record_index")
+    counts = {r.path: r.n for r in records.groupBy("path").agg(F.count("*").alias("n")).collect()}  # a row for each file
+    before, upto = [], 0
+    for path in sorted(counts, key=str.encode):  # as Spark orders texts
+        before.append((path, upto))
+        upto += counts[path]
+    first = spark.createDataFrame(before, "path string, _before long")
+    return ranked(records, "path", "key", "value").join(F.broadcast(first), "path").withColumn("record_index", F.col("global_rank") - F.col("_before") - 1).select("key", "value", "path", "record_index")
+
+
 def merge_files(spark: SparkSession, paths: str | list[str], path: str, limits: list | None = None, kind: str = "auto", overwrite: bool = False) -> None:
     """The records of some files in order, in one file partition.0, or in one for each range of ``limits``.
 

@@ -393,9 +393,8 @@ def verify_outputs(spark, sf_dir):
 
 
 def sorted_chunks(spark, sf_dir):
-    """Each file ordered for itself: a run for each split, here a file."""
-    runs = sorting.sort_files(spark, stored(spark, sf_dir, "arrived"), "binary").withColumn("at", F.monotonically_increasing_id())
-    return _event(runs).select("event_id", "path", (F.col("at") - F.shiftleft(F.shiftright("at", 33), 33)).alias("record_index"))
+    """Each file ordered for itself, also one of many splits."""
+    return _event(sorting.sort_each_file(spark, stored(spark, sf_dir, "arrived"), "binary")).select("event_id", "path", "record_index")
 
 
 def top_k(spark, sf_dir):
