@@ -12,7 +12,9 @@ of all pages costs one small row a partition.
 A node holds its text if all pages agree on it (a hash of one that is over 40
 characters), and a repeated node the texts that its run has on all pages, so
 constants of any length are found. With the nodes goes the mass of each
-container: the characters of its texts on all pages, less those of links.
+container: the characters of its texts on all pages, less those of links. No
+container is left out: each is part of some node's key, so masses are no more
+than nodes.
 
 The wrapper decides which slots are the main text. Its constants weigh nothing;
 from the root it descends to a container as long as that holds three quarters of
@@ -56,8 +58,6 @@ HINT = 200
 DEEP = 32
 #: Cells of an alignment's table that are filled at once; a larger one is halved.
 CELLS = 1 << 21
-#: Containers whose masses a host carries along; of more, those under a thousandth of all are left out.
-CONTAINERS = 2000
 
 # fixed values: elements of HTML and words in class names
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -465,13 +465,10 @@ def merge(a: list[list], b: list[list]) -> list[list]:
 
 
 def summed(a: dict[str, int], b: dict[str, int]) -> dict[str, int]:
-    """The masses of two sets of pages as one."""
-    out = Counter(a)
-    out.update(b)
-    if len(out) > CONTAINERS:
-        least = sum(out.values()) / 1000
-        out = Counter({c: n for c, n in out.items() if n >= least})
-    return dict(out)
+    """The masses of two sets of pages as one, of all their containers: ``a`` with ``b`` added, so a page costs its own containers only."""
+    for c, n in b.items():
+        a[c] = a.get(c, 0) + n
+    return a
 
 
 def wrapper_of(found: list[tuple[str, str, int]]) -> list[list]:

@@ -234,6 +234,21 @@ def test_the_wrapper_finds_the_text_where_names_say_nothing(spark):
     assert _extracted(spark, [*pages, f"<div class=z9><p>{prose(5, 30)}</p></div>"])[-1] == prose(5, 30)
 
 
+def test_many_small_containers_outweigh_a_large_one(spark):
+    """A host whose text lies in 3,000 containers, each under a thousandth of all, beside an advert."""
+    names = [f"s-{prose(i, 1)}-{'x' * (i % 60)}-{'y' * (i // 60)}" for i in range(3000)]
+    pages = ["<body><div class=q1>" + "".join(f"<section class={n}><p>{prose(i, 12)}</p></section>" for n in names[i::6]) + f"</div><div class=w2>{prose(i + 50, 600)}</div></body>" for i in range(6)]
+    assert _extracted(spark, pages) == ["\n\n".join([prose(i, 12)] * 500) for i in range(6)]
+    parts = [wrappers.masses(wrappers.blocks(p)) for p in pages]
+    whole = Counter()
+    for part in parts:
+        whole.update(part)
+    found: dict = {}
+    for part in parts:
+        found = wrappers.summed(found, part)
+    assert found == whole and len(found) == 3001
+
+
 def test_removing_the_wrapper_changes_the_text(spark):
     """Each page repeats what its host says; without the host it would be text."""
     pages = [f"<div class=k><p>{prose(900, 12)}</p><p>{prose(i, 20)}</p><p>{prose(901, 12)}</p></div>" for i in range(6)]
