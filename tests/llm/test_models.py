@@ -379,6 +379,45 @@ def test_secret_threshold_is_the_recall_quantile(spark, monkeypatch):
     assert net.threshold == seen[0][int(len(seen[0]) * (1 - secrets.RECALL))] < 0.5
 
 
+def test_secret_network_learns_every_finding(spark, monkeypatch):
+    """More findings than a block: each is in a lesson, each left-out one in the threshold, and what is hidden is found as by one task."""
+    made = []
+    written = secrets.cut
+    monkeypatch.setattr(secrets, "cut", lambda df, name: (made.append((name, written(df, name))), made[-1][1])[1])
+    r = np.random.default_rng(7)
+    known = [f'{prose(i, 12)} token = "{"".join(r.choice(list("0123456789abcdef"), 40))}" {prose(i + 1, 9)}' for i in range(240)]
+    hidden, decoys = _hidden(8, 20), _hidden(9, 120)
+    rows = [*enumerate([*known, *(t for t, _, is_, _ in decoys if not is_)]), *((10_000 + i, t) for i, (t, *_) in enumerate(hidden))]
+    nets = []
+    train = secrets.train
+    monkeypatch.setattr(secrets, "train", lambda *a: nets.append(train(*a)) or nets[-1])
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "token"] for r in secrets.scan(docs(spark, rows), 100).collect()}
+    assert [name for name, _ in made] == ["findings", "sides", "lessons", "lessons", "logits"]
+    (_, findings), (_, sides), (_, fit), (_, held), (_, logits) = made
+    assert findings.count() == sides.count() > 500
+    fit, held = ([(bytes(w), float(k), n) for row in t.collect() for w, k, n in zip(*(secrets._unpacked(row.asDict())[i] for i in (0, 2, 1)), strict=True)] for t in (fit, held))
+    sides = sides.collect()
+    assert {(bytes(r.bytes), float(r.label), r.length) for r in sides if not r.held} <= set(fit)
+    assert sorted(w for w, k, _ in held if not k) == sorted(bytes(r.bytes) for r in sides if r.held and not r.label)
+    assert sum(k for _, k, _ in held) == secrets.PLANTED * sum(r.label and r.held and r.length >= secrets.SHORTEST for r in sides)
+    z = np.sort([r.z for r in logits.collect() if r.y])
+    at = z[int(len(z) * (1 - secrets.RECALL))]
+    (net,) = nets
+    assert len(z) == sum(k for _, k, _ in held) and net.threshold == pytest.approx(1 / (1 + np.exp(-(net.slope * at + net.shift))), rel=1e-12)
+    told = [(any(body in s for s in found[10_000 + i]), is_) for i, (_, body, is_, _) in enumerate(hidden)]
+    assert np.mean([f for f, is_ in told if is_]) >= 0.9 and np.mean([f for f, is_ in told if not is_]) <= 0.02
+
+
+def test_secret_pass_takes_each_finding(monkeypatch):
+    x, y = np.zeros((150, secrets.WINDOW), np.uint8), np.array([0] * 139 + [1] * 11, float)
+    seen = set()
+    forward = secrets.Network.forward
+    monkeypatch.setattr(secrets.Network, "forward", lambda self, x, n: (seen.update(n.tolist()), forward(self, x, n))[1])
+    secrets.Network().fit(x, np.arange(150), y, whole=True)
+    assert seen == set(range(150))
+
+
 def test_secret_gradients():
     """The network's analytic gradient is that of its loss."""
     r = np.random.default_rng(5)
