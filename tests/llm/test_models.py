@@ -1,5 +1,6 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -433,6 +434,50 @@ def test_secret_gradients():
     assert loss(net) < 0.3 * before
 
 
+def _plain_pass(net, x, n, y):
+    """Logits and gradient by way of every window's inputs, written out."""
+    p, e = net.p, net.p["embed"][x]
+    cols = np.lib.stride_tricks.sliding_window_view(e, net.WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), x.shape[1] - net.WIDTH + 1, -1)
+    c = cols @ p["conv"] + p["cb"]
+    top = c.argmax(axis=1)
+    pooled = np.maximum(np.take_along_axis(c, top[:, None, :], 1)[:, 0], 0)
+    f = np.column_stack([pooled, np.log2(np.maximum(n, 1)) / 8])
+    h = np.maximum(f @ p["h"] + p["hb"], 0)
+    z = h @ p["o"] + p["ob"][0]
+    dz = (1 / (1 + np.exp(-z)) - y) / len(x)
+    dh = dz[:, None] * p["o"] * (h > 0)
+    dp = (dh @ p["h"].T)[:, : net.FILTERS] * (pooled > 0)
+    at = np.take_along_axis(cols, top[:, :, None], 1)
+    embed = np.zeros_like(p["embed"])
+    of = np.einsum("nf,if->nfi", dp, p["conv"]).reshape(len(x), net.FILTERS, net.WIDTH, net.DIM)
+    np.add.at(embed, x[np.arange(len(x))[:, None, None], top[:, :, None] + np.arange(net.WIDTH)], of)
+    g = {"embed": embed, "conv": np.einsum("nfi,nf->if", at, dp), "cb": dp.sum(0), "h": f.T @ dh, "hb": dh.sum(0), "o": h.T @ dz, "ob": np.array([dz.sum()])}
+    return z, np.concatenate([g[k].ravel() for k in p])
+
+
+def test_secret_network_learns_in_less_time_than_plainly():
+    """The same logits and gradient, also of texts' ends and of bytes over 127, in less than two thirds of the CPU time."""
+    r = np.random.default_rng(6)
+    x, n, y = r.integers(0, 256, (64, secrets.WINDOW)).astype(np.uint8), r.integers(8, 49, 64), r.integers(0, 2, 64).astype(float)
+    x[:16, 60:], x[16:32] = 0, x[32:48]
+    net = secrets.Network()
+    net.p["cb"] += r.normal(0, 0.2, net.FILTERS)
+    z, g = _plain_pass(net, x, n, y)
+    assert np.allclose(net.logits(x, n), z, rtol=1e-10, atol=1e-12)
+    assert np.allclose(net.gradient(x, n, y), g, rtol=1e-9, atol=1e-12) and (g != 0).mean() > 0.1
+
+    def spent(work):
+        times = []
+        for _ in range(9):
+            begun = time.thread_time()
+            work()
+            times.append(time.thread_time() - begun)
+        return min(times)
+
+    plain = spent(lambda: [_plain_pass(net, x, n, y) for _ in range(12)])
+    assert spent(lambda: net.fit(x, n, y, steps=12)) < plain * 2 / 3
+
+
 def test_secret_scan_without_findings(spark):
     out = secrets.scan(docs(spark, [(1, prose(1, 20)), (2, "secret=abcdef")])).collect()
     assert sorted((r.doc_id, len(r.spans)) for r in out) == [(1, 0), (2, 1)]
